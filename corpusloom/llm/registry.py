@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "piece_codec", "html_extract"]
+MODULES = ["packing", "piece_codec", "html_extract", "quality_rules"]
 
 
 def _all(kind: str) -> dict:
