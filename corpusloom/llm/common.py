@@ -100,7 +100,7 @@ class Prefix:
     def __init__(self, seed: int):
         rng = np.random.default_rng(90001 + seed)
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
+        self.base = int(rng.integers(2**58, 2**60)) * 8 + 5
         self.inverse = pow(self.base, -1, 2**64)
         self.key = seed
 
@@ -108,7 +108,7 @@ class Prefix:
         have = Prefix._powers.get(self.key)
         if have is None or len(have[0]) < n:
             size = max(n, STEP_BYTES + 4096)
-            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
+            up, down = np.full(size, np.uint64(self.base)), np.full(size, np.uint64(self.inverse))
             up[0] = down[0] = 1
             have = np.multiply.accumulate(up), np.multiply.accumulate(down)
             if size <= 4 * STEP_BYTES:

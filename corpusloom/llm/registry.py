@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "piece_codec", "html_extract", "quality_rules"]
+MODULES = ["packing", "piece_codec", "html_extract", "quality_rules", "suffix_dedup", "substring_dedup"]
 
 
 def _all(kind: str) -> dict:
