@@ -5,7 +5,7 @@ units of their own; all other words share ``UNITS - OWN - 1`` bins by their last
 is its add-one count (each bin keeps one place for unknown words). The model predicts the next unit from the two
 before it: s(w | u1, u2) = (A u1 + B u2) . q_w + b_w with vectors of ``WIDTH`` numbers.
 
-Training is numpy inside mapInArrow: every training document is used once, in one of ``ROUNDS`` rounds; tasks
+Training is numpy inside mapInArrow: every training document is used once, in one of a few rounds; tasks
 start a round from the same parameters and their results are averaged by tokens, in two steps, so the driver
 receives a bounded number of small arrays. Normalisation is exact: the sums over all units for all pairs of contexts
 are one matrix product, exp(A q) times exp(B q + b).
@@ -34,10 +34,11 @@ OWN = 767
 END = OWN
 HEAD = 1 << 18
 WIDTH = 24
-NOISE = 32
-BATCH = 8192
-ROUNDS = 3
-RATE = 0.12
+NOISE = 64
+BATCH = 2048
+#: Step size of each round.
+RATES = (0.12, 0.06, 0.03)
+ROUNDS = len(RATES)
 
 
 def unit_of_tail(word: bytes) -> int:
@@ -123,7 +124,8 @@ def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Trainer:
     """AdaGrad on the noise-contrastive objective; the noise of a batch is shared by all its contexts."""
 
-    def __init__(self, model: dict[str, np.ndarray], noise: np.ndarray, seed: int):
+    def __init__(self, model: dict[str, np.ndarray], noise: np.ndarray, seed: int, rate: float):
+        self.rate = rate
         self.p = {k: v.copy() for k, v in model.items()}
         self.g2 = {k: np.full(v.shape, 1e-2, np.float32) for k, v in model.items()}
         self.rng = np.random.default_rng(seed)
@@ -133,7 +135,7 @@ class Trainer:
 
     def move(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
         self.g2[name][at] += gradient * gradient
-        self.p[name][at] += RATE * gradient / np.sqrt(self.g2[name][at])
+        self.p[name][at] += self.rate * gradient / np.sqrt(self.g2[name][at])
 
     def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         p, n = self.p, len(w)
@@ -179,7 +181,7 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
 def train(shared, lexicon, round_no: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, noise = shared.value
-        trainer = Trainer(unpacked(model), noise, 1000 * round_no + TaskContext.get().partitionId())
+        trainer = Trainer(unpacked(model), noise, 1000 * round_no + TaskContext.get().partitionId(), RATES[round_no])
         for batch in batches:
             for _, docs in texts_of(batch):
                 _, units, sizes, _ = lexicon.value.tokens(docs)
@@ -288,7 +290,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     noise = unit_counts / unit_counts.sum()
 
     rng = np.random.default_rng(7)
-    model = {k: rng.normal(0, 0.1, (UNITS, WIDTH)).astype(np.float32) for k in ("a", "b", "q")} | {"bias": np.log(noise).astype(np.float32)}
+    model = {k: rng.normal(0, 0.05, (UNITS, WIDTH)).astype(np.float32) for k in ("a", "b", "q")} | {"bias": np.log(noise).astype(np.float32)}
     context = spark.sparkContext
     lexicon = context.broadcast(Lexicon(words, head_counts, n_docs, bins))
     tasks = max(2, context.defaultParallelism)
