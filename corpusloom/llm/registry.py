@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "piece_codec", "html_extract", "quality_rules", "suffix_dedup", "substring_dedup"]
+MODULES = ["pii", "lm_score", "packing", "ann", "ngram_join", "substring_dedup", "quality_rules", "suffix_dedup", "piece_codec", "html_extract"]
 
 
 def _all(kind: str) -> dict:

@@ -209,7 +209,7 @@ def merged(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def digest(kind: Kind, with_text: bool) -> Callable:
+def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -239,18 +239,20 @@ def digest(kind: Kind, with_text: bool) -> Callable:
                     spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
                     sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept_text, pa.binary()), pa.array(sha, pa.string())],
-                names=["doc_id", "total", "removed", "spans", "kept", "sha"],
+                [*(batch.column(batch.schema.get_field_index(c)) for c in carried), ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept_text, pa.binary()), pa.array(sha, pa.string())],
+                names=[*carried, "doc_id", "total", "removed", "spans", "kept", "sha"],
             )
 
     return run
 
 
-def without_repeats(docs: DataFrame, kind: Kind, index: Callable, with_text: bool = True) -> DataFrame:
-    """doc_id, total, removed, spans, kept (bytes, or null), sha of every document.
+def without_repeats(docs: DataFrame, kind: Kind, index: Callable, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The carried columns, doc_id, total, removed, spans, kept (bytes, or null), sha of every document.
 
-    Null and empty texts stay empty. Rows with a null id are kept whole and match nothing; rows that share an id
+    Kept bytes may hold parts of characters where a removed range ends inside one. Null and empty texts stay empty. Rows with a null id are kept whole and match nothing; rows that share an id
     count as copies of one document. Texts of any length are searched whole; an empty table gives an empty result.
     """
     ranges = removed_ranges(docs, kind, index)
-    return docs.select("doc_id", "text").join(ranges, "doc_id", "left").mapInArrow(digest(kind, with_text), "doc_id long, total long, removed long, spans long, kept binary, sha string")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    schema = fields + ", " * bool(fields) + "doc_id long, total long, removed long, spans long, kept binary, sha string"
+    return docs.select(*carried, "doc_id", "text").join(ranges, "doc_id", "left").mapInArrow(digest(kind, with_text, list(carried)), schema)

@@ -131,9 +131,9 @@ def windows_of(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1][sa]
 
 
-def remove_repeated_words(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
-    return without_repeats(docs, KIND, repeated_windows, with_text)
+def remove_repeated_words(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
+    return without_repeats(docs, KIND, repeated_windows, with_text, carried)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,9 +89,9 @@ def repeated_windows(texts, doc, first, count, place, n) -> np.ndarray:
     return shared[place_of(base[seg], m[seg], j)]
 
 
-def remove_repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
-    return without_repeats(docs, KIND, repeated_windows, with_text)
+def remove_repeated_bytes(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
+    return without_repeats(docs, KIND, repeated_windows, with_text, carried)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
