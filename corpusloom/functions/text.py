@@ -72,6 +72,11 @@ def quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: as an array's one element it has a name inside the lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def phrase_tokens(normalised: Column, phrases: Sequence[str]) -> Column:
     """One token for each phrase of the list that the text holds as whole words, in the list's order."""
     found = []
@@ -79,17 +84,20 @@ def phrase_tokens(normalised: Column, phrases: Sequence[str]) -> Column:
         parts = phrase.lower().split()
         if parts:
             pattern = r"(?U)(?<!\w)" + r"\s+".join(quoted(p) for p in parts) + r"(?!\w)"
-            found.append(F.when(normalised.rlike(pattern), "_".join(parts)))
+            near = F.contains(normalised, F.lit(parts[0])) & F.contains(normalised, F.lit(parts[-1]))
+            found.append(F.when(near & normalised.rlike(pattern), "_".join(parts)))
     return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else empty_strings()
 
 
 def tokens_of(normalised: Column, config: TokenizerConfig = TokenizerConfig()) -> Column:
     """Words, then phrase tokens as often as the boost says."""
-    words = F.regexp_extract_all(normalised, F.lit(TOKEN), F.lit(0))
-    if not config.phrase_boost:
-        return words
-    extra = phrase_tokens(normalised, PHRASES if config.phrases is None else config.phrases)
-    return F.concat(words, F.flatten(F.array_repeat(extra, config.phrase_boost)))
+    phrases = PHRASES if config.phrases is None else config.phrases
+
+    def both(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        return F.concat(words, F.flatten(F.array_repeat(phrase_tokens(text, phrases), config.phrase_boost))) if config.phrase_boost else words
+
+    return let(normalised, both)
 
 
 def tokenize(c: Column, config: TokenizerConfig = TokenizerConfig()) -> Column:
