@@ -40,9 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur twice or more go from the texts; a character cut in part goes whole."""
     out = remove_repeated_bytes(docs, carried=("lang", "source"))
-    text = F.try_validate_utf8(F.decode("kept", "UTF-8")) if False else F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")
-    kept = F.when(F.col("removed") > 0, text).otherwise(F.decode("kept", "UTF-8"))
-    return out.withColumn("text", kept).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    raw = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.translate(F.make_valid_utf8(raw), "\ufffd", ""))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
