@@ -1,0 +1,249 @@
+"""Whole operators on small tables, odd rows included, against plain versions."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from corpusloom.llm import ann, html_extract, lm_score, ngram_join, packing, pii, piece_codec, quality_rules, substring_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, g long, prefix string, score double"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, repeated rows, columns named like those the operators add."""
+    long_text = " ".join(f"w{i % 977} und{i}" for i in range(6000))
+    texts = ["", None, " \n ", "one", "The same, text here.", "The same, text here.", long_text, "Mr. Smith 4111111111111111", long_text[:3000] + " x", "#!? " * 80, "é" * 600]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", 1, 1, 1, "p", 0.5) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, "no id", None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def texts_of(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def all_operators(d):
+    return {
+        "quality": quality_rules.quality_rules(d),
+        "scores": lm_score.lm_scores(d),
+        "join": ngram_join.jaccard_components(d, 3, 90),
+        "bytes": suffix_dedup.remove_repeated_bytes(d, with_text=False),
+        "words": substring_dedup.remove_repeated_words(d, with_text=False),
+        "packing": packing.best_fit_pack(d, path("word_bpe_49k.json")),
+        "pieces": piece_codec.round_trip_digests(d, path("piece_bpe_32k.model")),
+        "pii": pii.replace_pii(d),
+    }
+
+
+def test_odd_rows_keep_every_row(odd):
+    n = odd.count()
+    for name, out in all_operators(odd).items():
+        assert out.where("piece = 0").count() == n if name == "packing" else out.count() == n, name
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, out in all_operators(empty).items():
+        assert out.count() == 0, name
+    assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pages_with_nulls(spark):
+    rows = [(1, None, None, "x"), (2, "u", "", "x"), (None, "u", "<p>a, b</p>", "x"), (None, "u", "<p>a, b</p>", "x")]
+    out = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "a, b", 4), (0, "a, b", 4), (1, "", 0), (2, "", 0)]
+
+
+def test_repeated_windows_of_words(docs):
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeated_words(docs).collect()}
+    seen = set()
+    for i, t in sorted(texts_of(docs).items()):
+        w, gone = WORD.findall(t), set()
+        for a in range(len(w) - 19):
+            k = tuple(w[a : a + 20])
+            if k in seen:
+                gone.update(range(a, a + 20))
+            seen.add(k)
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone).encode()
+        assert (got[i]["total"], got[i]["removed"], got[i]["sha"], bytes(got[i]["kept"])) == (len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept)
+
+
+def test_repeated_windows_of_bytes(docs):
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    raw = {i: t.encode() for i, t in texts_of(docs).items()}
+    seen = collections.Counter(b[a : a + 400] for b in raw.values() for a in range(len(b) - 399))
+    for i, b in raw.items():
+        gone = np.zeros(len(b), bool)
+        for a in range(len(b) - 399):
+            if seen[b[a : a + 400]] > 1:
+                gone[a : a + 400] = True
+        assert got[i]["removed"] == gone.sum() and bytes(got[i]["kept"]) == np.frombuffer(b, np.uint8)[~gone].tobytes()
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_components(docs, size, percent):
+    sets = {}
+    for i, t in texts_of(docs).items():
+        w = WORD.findall(t.encode().lower().decode())
+        sets[i] = {tuple(w[a : a + size]) for a in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    where = collections.defaultdict(list)
+    for i, s in sets.items():
+        shared = collections.Counter()
+        for g in s:
+            shared.update(where[g])
+            where[g].append(i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, size, percent).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_quality_counts(docs):
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    for i, t in texts_of(docs).items():
+        w = WORD.findall(t)
+        n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {k for a in range(len(w) - 2) if n[tuple(w[a : a + 3])] > 1 for k in (a, a + 1, a + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover))
+        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
+        assert not (got[i]["base_failed"] and got[i]["kept"])
+
+
+def test_quality_follows_the_labels(spark, docs):
+    out = quality_rules.quality_rules(docs).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    assert out[out.quality == 1].kept.mean() > 0.95
+    assert out[out.quality == 0].kept.mean() < 0.2
+
+
+def test_scores(docs):
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in texts_of(docs).items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in tokens.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+    assert sum(r["score"] for i, r in got.items() if not held[i]) > sum(r["base_score"] for i, r in got.items() if not held[i])
+
+
+def test_unit_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    model = {k: rng.normal(0, 0.3, (lm_score.UNITS, lm_score.WIDTH)).astype(np.float32) for k in ("a", "b", "q")} | {"bias": rng.normal(0, 1, lm_score.UNITS).astype(np.float32)}
+    every = np.arange(lm_score.UNITS)
+    for one, two in ((3, 9), (700, 1000)):
+        p = 10.0 ** lm_score.Normalised(model).of(every, np.full(lm_score.UNITS, one), np.full(lm_score.UNITS, two))
+        assert abs(p.sum() - 1) < 1e-4
+
+
+def test_packing_of_documents(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    rows = packing.best_fit_pack(docs, path("word_bpe_49k.json"), capacity=512).collect()
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for i, t in texts_of(docs).items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        parts = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [r["start"] for r in parts] == list(range(0, len(ids), 512))
+        assert [r["ids_crc32"] for r in parts] == [zlib.crc32(ids[k : k + 512].tobytes()) for k in range(0, len(ids), 512)]
+    for spots in by_sequence.values():
+        end = 0
+        for offset, length in sorted(spots):
+            assert offset == end
+            end += length
+        assert end <= 512
+    assert len(by_sequence) <= 1.02 * math.ceil(total / 512)
+
+
+def test_surrogates(spark, docs):
+    text = "Mr. John Smith and Mrs Anna Lopez; Mr. Smith: +44 20 7946 0958, a.b@mail.example.com a.b@mail.example.com 4111 1111 1111 1111 10.0.0.1 token = \"abc123def456\""
+    row = pii.replace_pii(spark.createDataFrame([(1, text), (2, "clean text, version 2.0"), (3, None), (4, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in row[1:]] == ["clean text, version 2.0", None, ""] and row[0]["n_entities"] == 9
+    new = row[0]["text"]
+    for part in ("Smith", "Lopez", "John", "Anna", "7946", "a.b@", "4111 1111", "10.0.0.1", "abc123def456"):
+        assert part not in new
+    male, surname, female, again = re.search(r"Mr\. (\S+) (\S+) and Mrs (\S+) \S+; Mr\. (\S+):", new).groups()
+    assert male.split("-")[0] in pii.NAMES["latin"]["m"].split() and female.split("-")[0] in pii.NAMES["latin"]["f"].split()
+    assert surname == again
+    mail = re.findall(r"\S+@\S+", new)
+    assert mail[0] == mail[1] and mail[0].endswith(".com")
+    card = re.search(r"4\d{3} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
+    changed = pii.replace_pii(docs).join(docs.select("doc_id", F.col("text").alias("old")), "doc_id")
+    assert changed.where("n_entities = 0 AND text <> old").count() == 0
+
+
+def test_colliding_surrogates_are_told_apart(spark):
+    values = spark.createDataFrame([("m_greek", f"x{i}") for i in range(60)], "kind string, value string")
+    odd = {r["value"]: r["attempt"] for r in pii.exceptions(values, "k").collect()}
+    made = values.select("value", *[pii.surrogate(F.col("kind"), F.col("value"), F.lit(a), "k").alias(f"a{a}") for a in range(max(odd.values()) + 1)]).collect()
+    final = [r[f"a{odd.get(r['value'], 0)}"] for r in made]
+    assert odd and len(set(final)) == 60
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16)).astype(np.float32) * rng.uniform(0.5, 2, (600, 1)).astype(np.float32)
+    x[300:340] = x[300]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0]), (1004, [None] * 16)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        best = [i for i in np.lexsort((np.arange(600), -s)).tolist() if i != q][:20]
+        hits += len(set(best) & {i for i, _ in found[q]})
+        assert len(found[q]) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in found[q])
+    assert hits / 600 >= 0.9
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = quality_rules.quality_rules(docs).where("kept")
+    out = corpus_pipeline.run(spark, DATA)
+    ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
+    assert 0 < len(ids) <= kept.count()
+    left = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    first = {r["component_id"] for r in ngram_join.jaccard_components(left, 5, 80).collect()}
+    assert ids == first
