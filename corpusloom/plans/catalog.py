@@ -260,7 +260,7 @@ def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("SELECT l_orderkey::VARCHAR AS article_id, l_linenumber::VARCHAR AS clause_number, 'clause' AS chunk_type, l_linenumber || '. part ' || l_partkey || ' a) from ' || l_suppkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS ordinal FROM lineitem")
+@query("SELECT l_orderkey::VARCHAR AS article_id, l_linenumber::VARCHAR AS clause_number, 'clause' AS chunk_type, l_linenumber || '. part ' || l_partkey || ' a) from ' || l_suppkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber || '. part ' || l_partkey || ' a) from ' || l_suppkey) AS ordinal FROM lineitem")
 def chunk_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("", F.col("l_linenumber").cast("string"), F.lit(". part "), F.col("l_partkey").cast("string"), F.lit(" a) from "), F.col("l_suppkey").cast("string"))
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("lines"))
