@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from corpusloom.llm import common as C
 from corpusloom.llm import html_extract, packing, repeats, substring_dedup, suffix_dedup
-from corpusloom.llm.ngram_join import forest, shingles
+from corpusloom.llm.ngram_join import candidates, forest, shingles
 from corpusloom.llm.piece_codec import PieceCodec
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -211,3 +212,36 @@ def test_long_broken_page_is_fast():
     assert isinstance(html_extract.extract("<div>" * 5_000 + "x"), str)
 
 
+
+
+@given(st.integers(0, 10_000), st.integers(1, 60))
+@settings(max_examples=40, deadline=None)
+def test_candidates_connect_all_that_sizes_allow(seed, batch):
+    rng = random.Random(seed)
+    rows = sorted({(t, rng.randint(10, 30), rng.randint(0, 400)) for t in range(6) for _ in range(rng.choice([1, 2, 5, 33, 90]))})
+    cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + batch]) for c in cols], names=["token", "n", "gid"]) for k in range(0, len(rows), batch)]
+    got = [(u, v, need) for b in candidates(90)(iter(batches)) for u, v, need in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    linked = {(u, v) for u, v, _ in got}
+    lists = {}
+    for t, n, g in rows:
+        lists.setdefault(t, []).append((n, g))
+    for members in lists.values():
+        if len(members) <= 32:
+            for i, (n, g) in enumerate(members):
+                for m, h in members[i + 1 :]:
+                    assert g == h or n * 100 < 90 * m or (max(g, h), min(g, h)) in linked
+    root = list(range(401))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v, need in got:
+        if need == 0:
+            root[find(u)] = find(v)
+    for members in lists.values():
+        if len(members) > 32:
+            for (n, g), (m, h) in zip(members, members[1:], strict=False):
+                assert n * 100 < 90 * m or find(g) == find(h)
