@@ -167,7 +167,7 @@ def test_records(spark, tmp_path):
 
 def test_context_budget(spark):
     items = spark.createDataFrame([([("aaaa", None), ("bbbb", "H"), ("cccc", None)],)], "items array<struct<text: string, heading: string>>")
-    assert items.select(submission.render_context(F.col("items"), ContextConfig(3, 22)).alias("x")).first()["x"] == "[Căn cứ 1]\naaa\n\n[H]\nbbb"
+    assert items.select(submission.render_context(F.col("items"), ContextConfig(3, 21)).alias("x")).first()["x"] == "[Căn cứ 1]\naaa\n\n[H]\nbbb"
 
 
 def test_collection_and_shards(spark, tmp_path):
