@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer single document is a step of its own.
 STEP_BYTES = 2 << 20
@@ -51,6 +52,29 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of a few numbers each (at most about 12 MB) that may be broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """df as a table, marked for broadcast only if it has been counted to be small; else joins shuffle it."""
+    df = cut(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(at most ``limit`` rows with the largest n, all others): cut at a level of log2(n) from the levels' sizes (a few
+    thousand numbers), so no task sorts or gathers more than its share."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    least, total = 0, 0
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("size")).collect(), key=lambda r: -r["level"]):
+        total += row["size"]
+        if total > limit:
+            least = row["level"] + 1
+            break
+    return counts.where(level >= least), counts.where(level < least)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a column and its offsets, nulls as empty texts."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, segments, table, text_column
+from .common import cut, most_frequent, segments, table, text_column
 
 UNITS = 1024
 OWN = 767
@@ -273,12 +273,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     n_docs = training.count()
     summed = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_train, v = summed["n"] + n_docs, summed["v"] + (n_docs > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # bounded by HEAD
+    frequent, others = most_frequent(counts, HEAD)
+    top = frequent.toArrow()  # at most HEAD rows
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
     words, head_counts = top.column("word").to_pylist(), top.column("n").to_numpy()
 
     suffix = F.expr(f"{OWN + 1} + crc32(substring(word, -3, 3)) % {UNITS - OWN - 1}").cast("int")
     last = (int(head_counts[OWN - 1]), words[OWN - 1]) if len(words) >= OWN else None
-    rest = counts.where(F.lit(False)) if last is None else counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(bytearray(last[1])))))
+    rest = others if last is None else counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(bytearray(last[1])))))
     bins = np.ones(UNITS)
     unit_counts = np.ones(UNITS)
     for row in rest.groupBy(suffix.alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most UNITS rows
