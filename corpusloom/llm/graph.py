@@ -15,7 +15,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     knows, then the smaller ones likewise, until all components are stars. Minima are taken by aggregation before
     the shuffle; each round ends in a table, so lineage stays short. Nothing is collected but a count and a sum.
     """
-    pairs = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,32 +1,37 @@
 """Jaccard self-join of documents on word shingles by a grouped prefix join.
 
-Two sets whose similarity reaches t share an element among the first |x| - ceil(t |x|) + 1 of each, in any fixed
-order of elements. Rare elements first keeps candidates few; any order gives the same result, so frequencies need
+Two sets whose similarity reaches t share l elements among the first |x| - ceil(t |x|) + l of each, for l up to
+ceil(t |x|), in any fixed order of elements; l is ``SHARED`` here, as chance meetings in one rare element are common. Rare elements first keeps candidates few; any order gives the same result, so frequencies need
 only be good, not exact: elements seen twice or more within an input partition are summed over the corpus and the
 most frequent ``FREQUENT`` are broadcast (a fixed bound of 8 MB).
 
 1. equal sets collapse to one representative; representatives with equal prefixes and sizes form one group;
-2. groups that share a prefix element, with sizes that allow the threshold, are candidate pairs. They are kept as
-   chains to a leader (one row an element and group), never as all pairs, and closed into families;
-3. families are expanded to members, whose whole sets are compared, in blocks of at most about ``BLOCK`` members; pairs that are known
+2. groups that share l prefix elements, with sizes that allow the threshold, are candidate pairs. An element's list
+   of up to ``SHORT`` groups is paired out (a bounded number a row) and pairs are counted; a longer list is a chain
+   of links to leaders, one row a group, which count in full. Candidates are closed into families;
+3. families are expanded to members, whose whole sets are compared; a family of more than ``BLOCK`` members is
+   dealt by size, each member to its band of sizes and the one below, and a band in blocks; pairs that are known
    to be connected aren't compared again. Links inside a block leave it as a spanning forest;
 4. forests are joined into components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIRST, LOWER, cut, mix, segments, signed, spread, steps, table, word_hashes, words
+from .common import FIRST, LOWER, cut, mix, most_frequent, segments, signed, small_side, spread, steps, table, word_hashes, words
 from .graph import components
 
 FREQUENT = 1 << 19
 BLOCK = 1024
+#: Elements that a pair must share in its prefixes (fewer for tiny sets), and the longest list that is paired out.
+SHARED, SHORT = 3, 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +76,91 @@ def local_frequencies(size: int) -> Callable:
     return run
 
 
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums before each place and in all, modulo 2^64."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shared prefix elements that any pair at the threshold has, for the smaller size of the two."""
+    return np.minimum(SHARED, least_overlap(n, percent))
+
+
+def candidates(percent: int) -> Callable:
+    """Rows (token, n, gid) sorted so -> (u, v, need, chained). Short lists give their pairs; a longer one is a chain of
+    links to leaders, each leader followed by the sizes that may reach the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        open_run: list[int] | None = None  # token, leader and last size of a long list that goes on
+
+        def leaders(token: int, n: np.ndarray, gid: np.ndarray) -> list[tuple[int, int]]:
+            nonlocal open_run
+            last, leader = (open_run[2], open_run[1]) if open_run and open_run[0] == token else (-1, -1)
+            out = []
+            opens = np.append(last * 100 < percent * n[0] or last < 0, n[:-1] * 100 < percent * n[1:])
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(n)), -1))
+            lead = np.where(at >= 0, gid[np.maximum(at, 0)], leader)
+            out += [(int(a), int(b)) for a, b in zip(gid, lead, strict=True) if a != b]
+            open_run = [token, int(lead[-1]), int(n[-1])]
+            return out
+
+        def pairs(token: np.ndarray, n: np.ndarray, gid: np.ndarray, ends: bool) -> pa.RecordBatch | None:
+            nonlocal held, open_run
+            if not len(token):
+                return None
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            length = np.diff(np.append(begin, len(token)))
+            chained: list[tuple[int, int]] = []
+            if open_run and token[0] != open_run[0]:
+                open_run = None
+            going_on = open_run is not None
+            short = length <= SHORT
+            short[0] &= not going_on
+            if not ends and short[-1]:  # its list may go on in the next rows
+                held = [x[begin[-1] :] for x in (token, n, gid)]
+                begin, length, short = begin[:-1], length[:-1], short[:-1]
+            else:
+                held = [x[:0] for x in (token, n, gid)]
+            for k in np.flatnonzero(~short).tolist():
+                a, b = begin[k], begin[k] + length[k]
+                chained += leaders(int(token[a]), n[a:b], gid[a:b])
+            rows = spread(begin[short & (length > 1)], length[short & (length > 1)])
+            t, m, g = token[rows], n[rows], gid[rows]
+            u, v, need = [], [], []
+            for d in range(1, SHORT):
+                if len(t) <= d:
+                    break
+                ok = (t[d:] == t[:-d]) & (m[:-d] * 100 >= percent * m[d:])
+                if not (t[d:] == t[:-d]).any():
+                    break
+                u.append(np.maximum(g[:-d], g[d:])[ok])
+                v.append(np.minimum(g[:-d], g[d:])[ok])
+                need.append(needed(m[:-d], percent)[ok])
+            first = np.array([a for a, _ in chained], np.int64)
+            second = np.array([b for _, b in chained], np.int64)
+            u, v = np.concatenate([*u, np.maximum(first, second)]).astype(np.int64), np.concatenate([*v, np.minimum(first, second)]).astype(np.int64)
+            need = np.concatenate([*need, np.zeros(len(first), np.int64)]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need)], names=["u", "v", "need"]) if len(u) else None
+
+        for batch in batches:
+            now = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            out = pairs(*now, ends=False)
+            if out is not None:
+                yield out
+        out = pairs(*held, ends=True)
+        if out is not None:
+            yield out
+
+    return run
+
+
 def describe(size: int, percent: int, frequent) -> Callable:
     """doc_id, n, the set's identity, its prefix's identity and the prefix."""
 
@@ -92,10 +178,10 @@ def describe(size: int, percent: int, frequent) -> Callable:
                     hit = known[slot] == h
                     order_key[hit] = rank[slot[hit]]
                 h = h[np.argsort((doc << 32) | order_key, kind="stable")]
-                k1, k2 = (np.append(0, np.cumsum(mix(h + np.uint64(salt)))).astype(np.uint64) for salt in (1, 0x9E3779B97F4A7C15))
-                prefix = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
+                k1, k2 = (running(mix(h + np.uint64(salt))) for salt in (1, 0x9E3779B97F4A7C15))
+                prefix = np.where(n > 0, n - least_overlap(n, percent) + needed(n, percent), 0)
                 pick = spread(begin, prefix)
-                p1 = np.append(0, np.cumsum(mix(h[pick] + np.uint64(77)))).astype(np.uint64)
+                p1 = running(mix(h[pick] + np.uint64(77)))
                 p_end = np.cumsum(prefix)
                 over = lambda c, a, b: signed(mix(c[b] - c[a]))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, p_end).astype(np.int32)), pa.array(signed(h[pick])))
@@ -110,7 +196,7 @@ def expand(size: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            family, rep, blocks, own = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("family", "rep", "blocks", "block"))
+            family, band, rep, blocks, own = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("family", "band", "rep", "blocks", "block"))
             for at, end, data, offsets in steps(batch):
                 h, n = shingles(data, offsets, size)
                 begin = np.cumsum(n) - n
@@ -119,8 +205,8 @@ def expand(size: int) -> Callable:
                 mine = own[at:end][doc]
                 flat = h[spread(begin[doc], n[doc])]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[doc])).astype(np.int32)), pa.array(signed(flat)))
-                cols = [pa.array(family[at:end][doc]), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine), pa.array(rep[at:end][doc]), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["family", "a", "b", "block", "rep", "shingles"])
+                cols = [pa.array(family[at:end][doc]), pa.array(band[at:end][doc]), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine), pa.array(rep[at:end][doc]), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["family", "band", "a", "b", "block", "rep", "shingles"])
 
     return run
 
@@ -159,18 +245,18 @@ def forest(rep: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
 
 
 def compare(percent: int) -> Callable:
-    """Rows sorted by (family, a, b); one pair of blocks in memory at a time."""
+    """Rows sorted by (family, band, a, b); one pair of blocks in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rep, block, sets = None, [], [], []
         out: list[tuple[int, int]] = []
         for batch in batches:
-            family, a, b, own, reps = (batch.column(k).to_numpy() for k in range(5))
-            lists = batch.column(5)
+            family, band, a, b, own, reps = (batch.column(k).to_numpy() for k in range(6))
+            lists = batch.column(6)
             values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-            change = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            change = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (band[1:] != band[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             for lo, hi in zip(change.tolist(), [*change[1:].tolist(), len(family)], strict=True):
-                now = (int(family[lo]), int(a[lo]), int(b[lo]))
+                now = (int(family[lo]), int(band[lo]), int(a[lo]), int(b[lo]))
                 if now != key:
                     if len(rep) > 1:
                         out += forest(np.array(rep), np.array(block), sets, percent)
@@ -199,7 +285,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counted = docs.mapInArrow(local_frequencies(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 3").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # bounded by FREQUENT
+    top = most_frequent(cut(counted.where("n > 3"), "frequencies"), FREQUENT)[0].toArrow()  # at most FREQUENT rows
     known, n = top.column("shingle").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(known)
     rank = 1 + np.argsort(np.argsort(n, kind="stable"))
@@ -211,21 +297,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     groups = named.groupBy("g", "n").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("at")).select("g", "n", F.col("at.doc_id").alias("gid"), F.col("at.k1").alias("gk1"), F.col("at.k2").alias("gk2"))
     heads = named.join(groups.select("gid", "gk1", "gk2"), (F.col("doc_id") == F.col("gid")) & (F.col("k1") == F.col("gk1")) & (F.col("k2") == F.col("gk2")))
     tokens = heads.select(F.explode("prefix").alias("token"), "n", "gid")
-    by = Window.partitionBy("token").orderBy("n", "gid")
-    opened = tokens.withColumn("opens", F.coalesce(F.lag("n").over(by) * 100 < F.col("n") * percent, F.lit(True)))
-    led = opened.withColumn("leader", F.last(F.when(F.col("opens"), F.col("gid")), ignorenulls=True).over(by))
-    edges = led.where("leader <> gid").select(F.col("gid").alias("u"), F.col("leader").alias("v"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = tokens.select("token", "n", "gid").repartition(parts, "token").sortWithinPartitions("token", "n", "gid")
+    near = listed.mapInArrow(candidates(percent), "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    edges = near.where("shared >= need").select("u", "v")
     families = components(edges)
 
     members = reps.join(groups.select("g", "n", "gid"), ["g", "n"]).join(families.select(F.col("node").alias("gid"), "root"), "gid", "left")
-    members = cut(members.select("rep", "k1", "k2", F.coalesce("root", "gid").alias("family")), "members")
+    members = cut(members.select("rep", "n", "k1", "k2", F.coalesce("root", "gid").alias("family")), "members")
     large = members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
+    # sizes of a linked pair fall into one band or two neighbours, as a band is a little wider than the threshold's ratio
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.01 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
+    sent = F.when(F.col("size") <= BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band - 1))
+    dealt = cut(members.join(large, "family").select("family", "rep", F.explode(sent).alias("band")), "dealt")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    placed = members.join(large, "family").select("family", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(placed, "rep")
-    spread_out = texts.mapInArrow(expand(size), "family long, a long, b long, block long, rep long, shingles array<long>")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    links = spread_out.repartition(parts, "family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(compare(percent), "u long, v long")
+    counted = dealt.groupBy("family", "band").agg(F.count("*").alias("size"))
+    placed = dealt.join(counted, ["family", "band"]).select("family", "band", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
+    texts = docs.withColumnRenamed("doc_id", "rep").join(small_side(placed, "placed"), "rep")
+    spread_out = texts.mapInArrow(expand(size), "family long, band long, a long, b long, block long, rep long, shingles array<long>")
+    links = spread_out.repartition(parts, "family", "band", "a", "b").sortWithinPartitions("family", "band", "a", "b").mapInArrow(compare(percent), "u long, v long")
     found = components(links)
 
     named_reps = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
