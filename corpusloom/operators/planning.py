@@ -100,8 +100,8 @@ def terms_sound(terms: Column) -> Column:
 
 def first_by(items: Column, key, limit: int) -> Column:
     """Items with a key not seen before, in order, at most ``limit``."""
-    keep = F.filter(items, lambda x, i: F.array_position(F.transform(items, key), key(x)) == i + 1)
-    return F.slice(keep, 1, limit)
+    keep = lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, key), key(x)) == i + 1)
+    return T.let(items, lambda xs: F.slice(keep(xs), 1, limit))
 
 
 def select_variants(candidates: Column, original: Column, article_number: Column, expected_type: Column, limit: int) -> Column:
