@@ -53,8 +53,8 @@ PATTERN = "|".join([
     r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
     rf"(?<!\w)(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 ])
-#: Texts without any of these characters hold no entity.
-HINT = rf"[0-9]|(?:{TITLES})\.? \p{{Lu}}"
+#: Every branch of PATTERN needs one of these: a digit, the sign of an address, a key's prefix or a titled name.
+HINT = rf"[0-9@]|AKIA|(?:{TITLES})\.? \p{{Lu}}"
 
 
 def let(value: Column, body) -> Column:
