@@ -40,9 +40,15 @@ NAMES = {
     },
 }
 TITLES = "|".join(sorted((MALE + " " + FEMALE).split(), key=len, reverse=True))
+LATER_TITLES = "|".join(t for t in TITLES.split("|") if t != "Don")  # Don is a given name, too
+PARTICLES = r"(?:(?:van|von|zu|de|del|della|di|da|dos|du)(?: (?:der|den|dem|la|las|los|le))?)"
+#: A part of a name: a capitalised word with its hyphens and apostrophes, initials, or one letter before a further part.
+LETTERS = r"[\p{L}\p{M}]"
+WORD = rf"\p{{Lu}}\p{{M}}*+(?:{LETTERS}++(?:-{LETTERS}++|['’](?:\p{{Lu}}{LETTERS}*+|\p{{Ll}}{LETTERS}++))*+|(?:-{LETTERS}++|['’]\p{{L}}{LETTERS}++)++)"
+PART = rf"(?:(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*+)(?!{LETTERS})|{WORD}|\p{{Lu}}(?= \p{{Lu}}(?:{LETTERS}|[.'’-])))"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = "|".join([
-    r"\b(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|token)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-]{0,60}\d)[A-Za-z0-9+/_-]{8,200}",
+    r"\b(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|token)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_.-]*+\d)[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}",
     r"\bAKIA[0-9A-Z]{16}\b",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b",
     rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
@@ -51,10 +57,10 @@ PATTERN = "|".join([
     r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
-    rf"(?<!\w)(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    rf"(?<!\w)(?:{TITLES})\.? (?:{PARTICLES} )?{PART}(?: (?:{PARTICLES} )?(?!(?:{LATER_TITLES})(?!{LETTERS})){PART})*+",
 ])
 #: Every branch of PATTERN needs one of these: a digit, the sign of an address, a key's prefix or a titled name.
-HINT = rf"[0-9@]|AKIA|(?:{TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|(?:{TITLES})\.? (?:{PARTICLES} )?\p{{Lu}}"
 
 
 def let(value: Column, body) -> Column:
@@ -79,7 +85,7 @@ def split_entity(e: Column) -> Column:
         secret = F.when(e.startswith("AKIA"), F.substr(e, F.lit(5))).otherwise(F.regexp_extract(e, r"^[^=:]*[=:]\s*[\"']?(.*)$", 1))
         gender = F.when(e.rlike(rf"^(?:{'|'.join(FEMALE.split())})\.? "), "f").otherwise("m")
         script = F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").when(e.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-        words = F.filter(F.split(F.regexp_extract(e, rf"^(?:{TITLES})\.? (.*)$", 1), " "), lambda w: w != "")
+        words = F.filter(F.split(F.regexp_extract(e, rf"^(?:{TITLES})\.? (.*)$", 1), " "), lambda w: w.rlike(r"^\p{Lu}"))
         names = F.transform(words, lambda w, i: one(F.concat(F.when(i == F.size(words) - 1, "n").otherwise(gender), F.lit("_"), script), w))
         phone = F.regexp_extract(e, r"^(?:\+\d{1,3}(?=[ .(-]))?(.*)$", 1)
         return F.when(kind == "name", names).otherwise(F.array(one(kind, F.when(kind == "secret", secret).when(kind == "phone", phone).otherwise(e))))
@@ -138,7 +144,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
                 length = F.floor(attempt / 3).cast("int") + (1 if part == "n" else 0)
                 many = F.transform(F.sequence(F.lit(0), length), pick_from(d, words.split()))
                 name = F.when(kind == f"{part}_{script}", F.array_join(many, "-")).otherwise(name)
-        name = F.when(F.upper(value) == value, F.upper(name)).otherwise(name)
+        name = F.when((F.upper(value) == value) & value.rlike(r"^\p{Lu}[^.]"), F.upper(name)).otherwise(name)
         return F.when(kind == "ip", address).when(kind == "card", card).when(name.isNotNull(), name).otherwise(plain)
 
     return let(digest, made)
@@ -198,7 +204,8 @@ def replace_pii(docs: DataFrame, key: str = "corpusloom") -> DataFrame:
         made = F.transform(split_entity(e), lambda u: F.struct(u["value"].alias("old"), surrogate(u["kind"], u["value"], attempt(u), key).alias("new")))
         # parts stand in the entity in their order; the last one ends it (but for a closing quote)
         step = lambda acc, u: let(F.instr(acc["rest"], u["old"]), lambda at: F.struct(F.concat(acc["done"], F.substr(acc["rest"], F.lit(1), at - 1), u["new"]).alias("done"), F.substr(acc["rest"], at + F.length(u["old"])).alias("rest")))
-        start = F.struct(F.lit("").alias("done"), e.alias("rest"))
+        title = F.regexp_extract(e, rf"^(?:{TITLES})\.? ", 0)  # its letters are never taken for a part's
+        start = F.struct(title.alias("done"), F.substr(e, F.length(title) + 1).alias("rest"))
         return F.aggregate(made, start, step, lambda acc: F.concat(acc["done"], acc["rest"]))
 
     pieces = F.split("text", PATTERN, -1)

@@ -218,6 +218,26 @@ def test_surrogates_in_texts_without_digits(spark):
     assert "anna.lopez" not in rows[0]["text"] and "ABCDEFGHIJKLMNOP" not in rows[1]["text"]
 
 
+def test_entities_go_whole(spark):
+    cases = [
+        ("saw Mr. John Paul Smith today", "John Paul Smith", "saw Mr. {} today"),
+        ("Mrs Anna Smith-Jones, too", "Anna Smith-Jones Jones", "Mrs {}, too"),
+        ("Mr. O'Brien's and Mr. M. Smith.", "O'Brien Brien Smith", "Mr. {}'s and Mr. {}."),
+        ("Mr. M Smith met Mr. J.R.R. Tolkien", "Smith Tolkien", "Mr. {} met Mr. {}"),
+        ("I told Mr. Smith I was Mrs Lopez", "Smith Lopez", "I told Mr. {} I was Mrs {}"),
+        ("Herr Jan van der Berg kam", "Jan Berg", "Herr {} van der {} kam"),
+        ("Mr. " + "Ab Cd " * 200 + "end", "Ab Cd", "Mr. {} end"),
+        ("api_key=" + "aB3x" * 100 + " end", "aB3xaB3x", "api_key={} end"),
+        ("secret: '" + "abcdefghij" * 7 + "7Zz' end", "abcdefghij 7Zz", "secret: '{}' end"),
+        ("token=eyJhbGciOi1.eyJzdWIiOjF9.c2lnbmF0dXJl. End", "eyJhbGciOi1 eyJzdWIiOjF9 c2lnbmF0dXJl", "token={}. End"),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_pii(rows).collect()}
+    for i, (text, gone, stays) in enumerate(cases):
+        assert re.fullmatch(re.escape(stays).replace(r"\{\}", "(.+)"), new[i]), (text, new[i])
+        assert not any(re.search(rf"(?<!\w){w}(?!\w)" if len(w) < 8 else w, new[i]) for w in gone.split()), (text, new[i])
+
+
 def test_colliding_surrogates_are_told_apart(spark):
     values = spark.createDataFrame([("m_greek", f"x{i}") for i in range(60)], "kind string, value string")
     odd = {r["value"]: r["attempt"] for r in pii.exceptions(values, "k").collect()}
