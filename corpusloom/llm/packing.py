@@ -67,13 +67,11 @@ class WordIds:
         text = unicodedata.normalize("NFC", text)
         return "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
+    def learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         plain = []
         for w in words:
             if b"<|" in w:  # may hold a special token: the library's own way
-                self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                into[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 plain.append(w)
         for at in range(0, len(plain), 20_000):
@@ -81,7 +79,7 @@ class WordIds:
             parts = [[x.encode() for x in self.part(self.fold(w.decode("utf-8", "replace")))] for w in some]
             flat = [x for p in parts for x in p]
             if not flat:
-                self.known.update((w, b"") for w in some)
+                into.update((w, b"") for w in some)
                 continue
             sizes = np.array([len(x) for x in flat])
             raw = np.frombuffer(b"".join(flat), np.uint8)
@@ -91,18 +89,18 @@ class WordIds:
             ids, lengths = self.merges.merge(symbols, sizes)
             raw_ids = ids.astype("<u4").tobytes()
             stop = np.append(0, 4 * np.cumsum(lengths))[np.append(0, np.cumsum([len(p) for p in parts]))].tolist()
-            self.known.update((w, raw_ids[a:b]) for w, a, b in zip(some, stop, stop[1:], strict=False))
+            into.update((w, raw_ids[a:b]) for w, a, b in zip(some, stop, stop[1:], strict=False))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
         wanted = set().union(*split)
-        new = list(wanted.difference(self.known))
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before + len(new):  # the memory was emptied: all words of these texts again
-                self.learn(list(wanted.difference(self.known)))
         known = self.known
+        new = list(wanted.difference(known))
+        if len(known) + len(new) > self.most:  # a dictionary of these texts' own; it is the next memory if it may
+            known = {w: known[w] for w in wanted if w in known}
+            self.known = known if len(wanted) <= self.most else {}
+        if new:
+            self.learn(new, known)
         for part in split:
             yield b"".join([known[w] for w in part])
 

@@ -51,9 +51,7 @@ class PieceCodec:
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
+    def learn(self, words: list[str], into: dict[str, bytes]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             points = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -74,20 +72,20 @@ class PieceCodec:
             ends = (4 * np.cumsum(sizes)).tolist()
             begin = 0
             for w, end in zip(part, ends, strict=True):
-                self.known[w] = raw_ids[begin:end]
+                into[w] = raw_ids[begin:end]
                 begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, begin and end ids included."""
         split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         wanted = set().union(*split)
-        new = list(wanted.difference(self.known))
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before + len(new):
-                self.learn(list(wanted.difference(self.known)))
         known = self.known
+        new = list(wanted.difference(known))
+        if len(known) + len(new) > self.most:  # a dictionary of these texts' own; it is the next memory if it may
+            known = {w: known[w] for w in wanted if w in known}
+            self.known = known if len(wanted) <= self.most else {}
+        if new:
+            self.learn(new, known)
         begin, end = (np.array([x], "<u4").tobytes() for x in (self.bos, self.eos))
         return [begin + b"".join([known[w] for w in part]) + end for part in split]
 

@@ -73,6 +73,17 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(next(words.encode([text.encode()])), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_steps_of_more_words_than_the_memory_holds(library):
+    codec = PieceCodec(public_tokenizers.path("piece_bpe_32k.model"), most=5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, plain = packing.WordIds(path, most=5), Tokenizer.from_file(path)
+    for step in (["one two"], ["two three four five six seven eight", "nine one"], ["eight ten"], ["one two three four five six"], ["", "six"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(step)] == [library.encode(t, add_bos=True, add_eos=True) for t in step]
+        got = list(words.encode([t.encode() for t in step]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in step]
+        assert len(codec.known) <= 5 and len(words.known) <= 5
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_packing_places_all_and_fits(lengths):
