@@ -2,7 +2,8 @@
 
 Each block of text earns points for its length and its commas and passes them to its ancestors (all to the
 nearest container, less to each one further up). A container's points are discounted by its link density. The
-best container is kept whole, with those siblings that score well beside it. Parts that are never article text
+best container is kept whole. Inside an article or main element all of that element is kept with it, but for parts
+that are mostly links; elsewhere those siblings that score well, and paragraphs and headings without links. Parts that are never article text
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) neither
 score nor appear.
 """
@@ -208,12 +209,20 @@ def extract(page: str | None) -> str:
             if to.tag not in ("ul", "ol", "dl", "tr", "tbody", "thead", "table") and to.tag not in PARAGRAPHS and score(to) > most:
                 best, most = to, score(to)
             to = to.up
-    keep = {id(best)}
-    if best.up is not None and best.tag != "article":
+    keep, drop, path = {id(best)}, set(), [best]
+    while path[-1].tag not in ("article", "main") and path[-1].up is not None:
+        path.append(path[-1].up)
+    home = path[-1]
+    if best.tag not in ("article", "main") and home.tag in ("article", "main"):  # all of it, but for parts that are mostly links
+        keep.add(id(home))
+        on_path = {id(n) for n in path}
+        for node in path[1:]:
+            drop |= {id(o) for o in node.children if isinstance(o, Node) and id(o) not in on_path and o.link_chars >= 0.5 * max(o.chars, 1)}
+    elif best.up is not None and best.tag != "article":
         for other in best.up.children:
             if isinstance(other, Node) and other is not best and other.chars:
                 density = other.link_chars / other.chars
-                prose = other.tag in PARAGRAPHS and (density < 0.25 and other.chars > 80 or density == 0 and other.tag in ("h1", "h2"))
+                prose = other.tag in PARAGRAPHS and (density < 0.25 and other.chars > 80 or density == 0)
                 if prose or other.points and score(other) >= max(10.0, 0.2 * most) and density < 0.25:
                     keep.add(id(other))
     elif best.tag == "article" and best.up is not None:  # further articles of the same page part are the same text's
@@ -221,9 +230,9 @@ def extract(page: str | None) -> str:
     lines = []
     for node, text, _ in texts:
         to = node
-        while to is not None and id(to) not in keep:
+        while to is not None and id(to) not in keep and id(to) not in drop:
             to = to.up
-        if to is not None:
+        if to is not None and id(to) in keep:
             lines.append(text)
     return "\n".join(lines)
 

@@ -213,6 +213,21 @@ def test_page():
     assert html_extract.extract(PAGE) == "Title & more\nOne, two three.\nFour <five>."
 
 
+LONG = "<p>" + "some words, more words, " * 12 + "</p>"
+BESIDE = "<h3>Coda</h3><p>Short one.</p>"
+MENU = "<div><a href=/a>More of this</a> <a href=/b>and that</a></div>"
+
+
+def test_parts_beside_a_long_body_are_kept():
+    coda = "<div class='coda'><p>First of the coda, so.</p><ul><li>A point</li></ul></div>"
+    got = html_extract.extract(f"<body><p>Outside</p><article><div class='body'>{LONG * 30}</div>{coda}{BESIDE}{MENU}</article></body>")
+    assert got.split("\n")[30:] == ["First of the coda, so.", "A point", "Coda", "Short one."]
+    got = html_extract.extract(f"<main><div><div class='body'>{LONG * 30}</div></div>{coda}</main>")
+    assert got.split("\n")[30:] == ["First of the coda, so.", "A point"]
+    got = html_extract.extract(f"<body><div><div class='body'>{LONG * 30}</div>{BESIDE}{MENU}</div></body>")
+    assert got.split("\n")[30:] == ["Coda", "Short one."]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a '", "</p></p>", "<!-- x", "plain, text", "<script>x"])
 def test_odd_pages_do_not_crash(page):
     assert isinstance(html_extract.extract(page), str)
