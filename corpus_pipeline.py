@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packing),
 ]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the stages; the tests compare the ids that run() leaves with the operators', not its rows.
 ORACLE_SQL: str | None = None
 
 
