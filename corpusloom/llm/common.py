@@ -7,6 +7,7 @@ windows with prefix sums.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one only where the session names none and runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not hasattr(shared_folder, "own"):
         shared_folder.own = tempfile.mkdtemp(prefix="corpusloom-")
     return f"file://{shared_folder.own}"
@@ -49,7 +52,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a table of a few numbers each (at most about 12 MB) that may be broadcast.

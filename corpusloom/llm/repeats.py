@@ -1,15 +1,22 @@
 """Finding every window of L consecutive symbols (words or bytes) that occurs more than once in a corpus.
 
 No shard is compared with all documents. Each window names an *anchor*: the gram of ``gram`` symbols inside it with
-the smallest hash (the rightmost of equal ones). Equal windows have equal anchors at equal places, so only windows
-under one anchor need comparing, and consecutive windows under one anchor form one *segment*:
+the smallest key (the rightmost of equal ones). Equal windows have equal anchors at equal places, so only windows
+under one anchor need comparing, and consecutive windows under one anchor form one *segment*. Anchors only deal text
+to shards; what repeats is said by an index over the shard's text:
 
 1. anchors are counted (summed before the shuffle); those seen once are done with;
-2. the segments of the others are joined in; equal segments (by hash) collapse into one with a count and its
-   first place;
-3. anchors with one distinct segment are decided by its count. For the others the segments' contents are fetched
-   from the documents, once each, and an operator's index decides window by window, in shards of bounded size;
-4. removed ranges go back to their documents.
+2. the segments of the others are joined in; equal segments (by hash) collapse into one with its number of copies
+   and its first place;
+3. the contents of the distinct segments are fetched from the documents, once each. Neighbours in a document whose
+   anchors have no other content are written as one string, the others go to the shard of their anchor;
+4. an operator's index over a shard of bounded size decides window by window;
+5. removed ranges go back to their documents.
+
+Hot keys. Grams that are frequent in a sample of the documents get a larger key than all others, so a window takes
+one of them only if it holds nothing else: where a frequent passage stands in many contexts, the windows at its edges are
+dealt by their contexts, and those inside it collapse into one segment. The sample changes where a window is compared, never
+the result. Anchors that hold more than a fixed share of all segments (so there are few) are salted in both joins.
 """
 
 from __future__ import annotations
@@ -21,13 +28,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, cut, signed, spread, steps, window_min, word_hashes, words
+from .common import FIRST, SECOND, cut, discard, most_frequent, segments, signed, spread, steps, window_min, word_hashes, words
 
-#: Bytes of content that an index is built over at a time; one anchor's segments are never parted.
+#: Bytes of content that an index is built over at a time; one anchor's distinct segments are never parted.
 SHARD_BYTES = 1 << 20
+#: The sample that frequent grams are taken from: so many documents, and at least this share; seen so often there; at most so many.
+SAMPLE, SHARE, OFTEN, FREQUENT = 4096, 1 / 256, 8, 1 << 18
+#: Anchors with more than 1/HOT of all segments (fewer than HOT of them) are salted.
+HOT, LEAST_HOT, SALTS = 4096, 1000, 64
 
 
 @dataclass(frozen=True)
@@ -46,17 +57,40 @@ def symbols_of(kind: Kind, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return word_hashes(data, starts, ends), first
 
 
-def segments_of(kind: Kind, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, anchor, content hash, first window, windows, place of the gram in the first window) arrays."""
+class Frequent:
+    """A set of 64-bit numbers; a bit table answers for nearly all others."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.sort(values)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.values >> np.uint64(42)] = True
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        out = self.table[x >> np.uint64(42)]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.values, x[maybe]), len(self.values) - 1)
+            out[maybe] = self.values[at] == x[maybe]
+        return out
+
+
+def grams_of(kind: Kind, symbols: np.ndarray) -> np.ndarray:
+    at = np.arange(len(symbols) - kind.gram + 1)
+    return FIRST.of(FIRST.sums(symbols), at, at + kind.gram)
+
+
+def segments_of(kind: Kind, data: np.ndarray, offsets: np.ndarray, frequent: Frequent | None = None) -> tuple[np.ndarray, ...]:
+    """(document, anchor, content hash, first window, windows) arrays."""
     symbols, first = symbols_of(kind, data, offsets)
     n, size = len(symbols), kind.length
     if n < size:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
-    sums = FIRST.sums(symbols)
-    at = np.arange(n - kind.gram + 1)
-    grams = FIRST.of(sums, at, at + kind.gram)
-    low = window_min(grams, size - kind.gram + 1)
+        return none, none, none, none, none
+    grams = grams_of(kind, symbols)
+    keys = grams
+    if frequent is not None:
+        keys = (grams >> np.uint64(1)) | (frequent.holds(grams).astype(np.uint64) << np.uint64(63))
+    low = window_min(keys, size - kind.gram + 1)
     lengths = np.diff(first)
     end = np.repeat(first[1:], lengths)[: n - size + 1]
     valid = np.arange(n - size + 1) + size <= end
@@ -68,7 +102,7 @@ def segments_of(kind: Kind, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     begin, count = begin[own], count[own]
     doc = np.searchsorted(first, begin, "right") - 1
     content = SECOND.of(SECOND.sums(symbols), begin, begin + count + size - 1)
-    return doc, signed(grams[low[begin]]), signed(content), begin - first[doc], count, low[begin] - begin
+    return doc, signed(grams[low[begin]]), signed(content), begin - first[doc], count
 
 
 def each_step(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,30 +111,59 @@ def each_step(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield ids[at:end], data, offsets
 
 
-def count_anchors(kind: Kind) -> Callable:
+def count_grams(kind: Kind) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in each_step(batch):
+                symbols, first = symbols_of(kind, data, offsets)
+                if len(symbols) < kind.gram:
+                    continue
+                at = np.arange(len(symbols) - kind.gram + 1)
+                own = at + kind.gram <= np.repeat(first[1:], np.diff(first))[: len(at)]
+                got, n = np.unique(grams_of(kind, symbols)[own], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(got)), pa.array(n)], names=["gram", "n"])
+
+    return run
+
+
+def frequent_grams(docs: DataFrame, kind: Kind) -> Frequent | None:
+    """The most frequent grams of a sample: at most ``FREQUENT`` numbers reach the driver."""
+    share = min(1.0, max(SAMPLE / max(docs.count(), 1), SHARE))
+    counted = docs.sample(share, seed=7).mapInArrow(count_grams(kind), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    counted = cut(counted, "frequent")
+    values = most_frequent(counted, FREQUENT)[0].select("gram").toArrow().column(0).to_numpy()
+    discard(counted)
+    return Frequent(values.view(np.uint64)) if len(values) else None
+
+
+def count_anchors(kind: Kind, frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in each_step(batch):
-                got, n = np.unique(segments_of(kind, data, offsets)[1], return_counts=True)
+                got, n = np.unique(segments_of(kind, data, offsets, frequent.value)[1], return_counts=True)
                 if len(got):
                     yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], names=["anchor", "n"])
 
     return run
 
 
-def list_segments(kind: Kind) -> Callable:
+def list_segments(kind: Kind, frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, data, offsets in each_step(batch):
-                doc, anchor, content, first, count, place = segments_of(kind, data, offsets)
+                doc, anchor, content, first, count = segments_of(kind, data, offsets, frequent.value)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, ids[doc], first, (count << 16) | place)], names=["anchor", "content", "doc_id", "first", "shape"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, ids[doc], first, count)], names=["anchor", "content", "doc_id", "first", "count"])
 
     return run
 
 
+#: A string of a shard: where it stands, and the segments written in it (place in the string, windows, copies).
+STRINGS = "key long, doc_id long, begin long, text binary, parts array<struct<anchor:long,content:long,off:long,count:long,n:long>>"
+
+
 def fetch(kind: Kind) -> Callable:
-    """Contents of the wanted segments: one row a document with its text and the list of them."""
+    """Contents of the wanted segments from rows of one document with its text and the list of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,64 +173,121 @@ def fetch(kind: Kind) -> Callable:
                 some = wanted.slice(at, end - at)
                 flat = some.flatten()
                 doc = np.repeat(np.arange(end - at), np.asarray(some.value_lengths()))
-                anchor, content, n, first, shape = (flat.field(k).to_numpy() for k in range(5))
-                count = shape >> 16
+                anchor, content, n, first, count, shared = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+                order = np.lexsort((first, doc))
+                symbols, of = symbols_of(kind, data, offsets)
+                stop = first + count + kind.length - 1
+                fits = order[(stop <= np.diff(of)[doc])[order]]  # a row with this id but another text lacks the segment
+                fits = fits[signed(SECOND.of(SECOND.sums(symbols), of[doc[fits]] + first[fits], of[doc[fits]] + stop[fits])) == content[fits]]
+                doc, anchor, content, n, first, count, shared = (x[fits] for x in (doc, anchor, content, n, first, count, shared))
+                if not len(doc):
+                    continue
+                new = np.ones(len(doc), bool)  # a string's first segment
+                room = first // (4 * kind.length)
+                new[1:] = (doc[1:] != doc[:-1]) | shared[1:] | shared[:-1] | (first[1:] != first[:-1] + count[:-1]) | (room[1:] != room[:-1])
+                head = np.flatnonzero(new)
+                tail = np.append(head[1:], len(new)) - 1
+                size = first[tail] + count[tail] + kind.length - 1 - first[head]
                 if kind.unit == "byte":
-                    begin = offsets[doc] + first
-                    stop = begin + count + kind.length - 1
+                    begin = offsets[doc[head]] + first[head]
+                    stop = begin + size
                 else:
-                    starts, ends, of = words(data, offsets)
-                    begin = starts[of[doc] + first]
-                    stop = ends[of[doc] + first + count + kind.length - 2]
+                    starts, ends, _ = words(data, offsets)
+                    begin = starts[of[doc[head]] + first[head]]
+                    stop = ends[of[doc[head]] + first[head] + size - 1]
                 texts = [data[a:b].tobytes() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-                cols = [pa.array(x) for x in (anchor, content, n, ids[at:end][doc], first, shape)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], names=["anchor", "content", "n", "doc_id", "first", "shape", "text"])
+                off = first - np.repeat(first[head], np.diff(np.append(head, len(new))))
+                parts = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (anchor, content, off, count, n)], names=["anchor", "content", "off", "count", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(new)).astype(np.int32)), parts)
+                key = np.where(shared[head], anchor[head], content[head])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at:end][doc[head]]), pa.array(first[head]), pa.array(texts, pa.binary()), lists], names=["key", "doc_id", "begin", "text", "parts"])
 
     return run
 
 
-def sharded(kind: Kind, index: Callable) -> Callable:
-    """Rows in the order of their anchors, in shards of whole anchors; index(texts, doc, first, count, place, n) says which
-    windows of each segment go: a flat boolean array over all windows."""
+@dataclass
+class Shard:
+    """What an index is built over: strings, and the windows of the segments in them, segment after segment."""
+
+    texts: list[bytes]
+    string: np.ndarray  # of each segment
+    off: np.ndarray  # first window of each segment in its string
+    count: np.ndarray  # windows of each segment
+    copies: np.ndarray  # of each segment
+    doc: np.ndarray  # of each segment
+    first: np.ndarray  # first window of each segment in its document
+
+    def windows(self, base: np.ndarray) -> np.ndarray:
+        """Places of all windows in a text where string i starts at base[i]."""
+        seg, j = segments(self.count)
+        return base[self.string[seg]] + self.off[seg] + j
+
+    def weight(self, base: np.ndarray, size: int) -> np.ndarray:
+        """How many copies stand at each place of the text; behind a string's last window as many as there."""
+        last = np.zeros(len(base), np.int64)
+        last[self.string] = self.copies
+        out = np.repeat(last, np.diff(np.append(base, size)))
+        out[self.windows(base)] = np.repeat(self.copies, self.count)
+        return out
+
+    def order(self) -> np.ndarray:
+        """The windows' rank in the corpus by document and place."""
+        seg, j = segments(self.count)
+        out = np.empty(len(seg), np.int64)
+        out[np.lexsort((self.first[seg] + j, self.doc[seg]))] = np.arange(len(seg))
+        return out
+
+
+def runs_of(gone: np.ndarray, begin: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+    """Two list columns, a row a segment: starts and lengths of the runs of set windows."""
+    new = np.zeros(len(gone), bool)
+    new[begin] = True
+    opens, closes = gone.copy(), gone.copy()
+    opens[1:] &= ~gone[:-1] | new[1:]
+    closes[:-1] &= ~gone[1:] | new[1:]
+    run_from, run_to = np.flatnonzero(opens), np.flatnonzero(closes)
+    seg = np.searchsorted(begin, run_from, "right") - 1
+    off = pa.array(np.append(0, np.cumsum(np.bincount(seg, minlength=len(count)))).astype(np.int32))
+    return [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int64))) for x in (run_from - begin[seg], run_to - run_from + 1)]
+
+
+DECIDED = "anchor long, content long, again_at array<long>, again_n array<long>, later_at array<long>, later_n array<long>"
+
+
+def sharded(index: Callable[[Shard], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """Strings in the order of their keys, in shards of whole keys; index(shard) says of every window whether it occurs
+    again, and whether it has an occurrence before its own place."""
 
     def decide(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        anchor, content, n, doc, first, shape = (t.column(k).to_numpy() for k in range(6))
-        count = shape >> 16
-        gone = index(t.column(6).to_pylist(), doc, first, count, shape & 0xFFFF, n)
-        begin = np.cumsum(count) - count
-        new = np.zeros(len(gone), bool)
-        new[begin] = True
-        opens, closes = gone.copy(), gone.copy()
-        opens[1:] &= ~gone[:-1] | new[1:]
-        closes[:-1] &= ~gone[1:] | new[1:]
-        run_from, run_to = np.flatnonzero(opens), np.flatnonzero(closes)
-        seg = np.searchsorted(begin, run_from, "right") - 1
-        sizes = np.bincount(seg, minlength=len(count))
-        off = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int64))) for x in (run_from - begin[seg], run_to - run_from + 1)]
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), *lists], names=["anchor", "content", "offs", "runs"])
+        parts = t.column("parts").combine_chunks()
+        flat = parts.flatten()
+        anchor, content, off, count, n = (flat.field(k).to_numpy() for k in range(5))
+        string = np.repeat(np.arange(len(t)), np.asarray(parts.value_lengths()))
+        doc, begin = t.column("doc_id").to_numpy()[string], t.column("begin").to_numpy()[string]
+        again, later = index(Shard(t.column("text").to_pylist(), string, off, count, n, doc, begin + off))
+        at = np.cumsum(count) - count
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), *runs_of(again, at, count), *runs_of(later, at, count)], names=["anchor", "content", "again_at", "again_n", "later_at", "later_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            anchor = batch.column(0).to_numpy()
-            lengths = np.asarray(pc.binary_length(batch.column(6)))
-            cuts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else []
-            at = 0
-            for c in list(cuts):
-                if c == 0 and held and held[-1].column(0)[len(held[-1]) - 1].as_py() == anchor[0]:
-                    continue
+            key = batch.column(0).to_numpy()
+            if not len(key):
+                continue
+            lengths = np.asarray(pc.binary_length(batch.column(3))).astype(np.int64)
+            fresh = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            last, at = key[-1], 0
+            for c in np.flatnonzero(fresh).tolist():
                 if size + int(lengths[at:c].sum()) >= SHARD_BYTES:
                     if c > at:
                         held.append(batch.slice(at, c - at))
                     if held:
                         yield decide(held)
-                    held, size, at = [], 0, int(c)
-            if at < len(anchor):
-                held.append(batch.slice(at))
-                size += int(lengths[at:].sum())
+                    held, size, at = [], 0, c
+            held.append(batch.slice(at))
+            size += int(lengths[at:].sum())
         if held:
             yield decide(held)
 
@@ -177,28 +297,35 @@ def sharded(kind: Kind, index: Callable) -> Callable:
 def removed_ranges(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
     """doc_id, ranges: array of (from, to) symbol ranges to remove, unordered and overlapping."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    counted = docs.mapInArrow(count_anchors(kind), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    repeated = counted.where("n > 1").select("anchor")
-    found = docs.mapInArrow(list_segments(kind), "anchor long, content long, doc_id long, first long, shape long")
-    members = cut(found.join(repeated, "anchor"), "segments")
-    distinct = members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "shape")).alias("at"))
-    distinct = cut(distinct.withColumn("segs", F.count("*").over(Window.partitionBy("anchor"))), "distinct")
-    wanted = distinct.where("segs > 1").select("anchor", "content", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.first").alias("first"), F.col("at.shape").alias("shape"))
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "first", "shape")).alias("wanted"))
-    contents = docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(fetch(kind), "anchor long, content long, n long, doc_id long, first long, shape long, text binary")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    decided = contents.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(sharded(kind, index), "anchor long, content long, offs array<long>, runs array<long>")
-    decided = decided.groupBy("anchor", "content").agg(F.first("offs").alias("offs"), F.first("runs").alias("runs"))
-    known = distinct.select("anchor", "content", "n", "at").join(decided, ["anchor", "content"], "left")
-    row = members.join(known, ["anchor", "content"])
-    whole = F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.shiftright("shape", 16) + kind.length - 1).alias("to")))
-    partial = F.zip_with(F.coalesce("offs", F.array().cast("array<long>")), F.coalesce("runs", F.array().cast("array<long>")), lambda o, r: F.struct((F.col("first") + o).alias("from"), (F.col("first") + o + r + kind.length - 1).alias("to")))
+    spark = docs.sparkSession
+    frequent = spark.sparkContext.broadcast(frequent_grams(docs, kind))
+    counted = docs.mapInArrow(count_anchors(kind, frequent), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    repeated = cut(counted.where("n > 1"), "anchors")
+    most = max(LEAST_HOT, (repeated.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT)
+    hot = F.broadcast(repeated.where(F.col("n") > most).select("anchor", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = lambda on: F.explode(F.sequence(F.lit(0), F.when(on, SALTS - 1).otherwise(0)))
+    found = docs.mapInArrow(list_segments(kind, frequent), "anchor long, content long, doc_id long, first long, count long").join(hot, "anchor", "left").withColumn("salt", salt)
+    kept = repeated.select("anchor", salts(F.col("n") > most).alias("salt"))
+    members = cut(found.join(kept, ["anchor", "salt"]), "segments")
+    distinct = members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "count")).alias("at"), F.max("hot").alias("hot"))
+    distinct = cut(distinct, "distinct")
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor", F.lit(True).alias("shared"))
+    wanted = distinct.join(shared, "anchor", "left").select(F.col("at.doc_id").alias("doc_id"), F.struct("anchor", "content", "n", "at.first", "at.count", F.coalesce("shared", F.lit(False)).alias("shared")).alias("one"))
+    lists = wanted.groupBy("doc_id").agg(F.collect_list("one").alias("wanted"))
+    strings = docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(fetch(kind), STRINGS)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    decided = strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sharded(index), DECIDED)
+    decided = decided.groupBy("anchor", "content").agg(*[F.first(c).alias(c) for c in ("again_at", "again_n", "later_at", "later_n")])  # rows may share an id
+    known = distinct.select("anchor", "content", "at", "hot").join(decided, ["anchor", "content"]).withColumn("salt", salts(F.col("hot"))).drop("hot")
+    row = members.drop("hot", "count").join(known, ["anchor", "content", "salt"])
+    ranges = lambda at, n: F.zip_with(at, n, lambda o, r: F.struct((F.col("first") + o).alias("from"), (F.col("first") + o + r + (kind.length - 1)).alias("to")))
+    gone = ranges("again_at", "again_n")
     if kind.keep_first:
-        first_here = (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.first") == F.col("first"))
-        ranges = F.when(first_here, partial).otherwise(whole)
-    else:
-        ranges = F.when(F.col("n") > 1, whole).otherwise(partial)
-    return row.select("doc_id", F.explode(ranges).alias("range")).groupBy("doc_id").agg(F.collect_list("range").alias("ranges"))
+        gone = F.when((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.first") == F.col("first")), ranges("later_at", "later_n")).otherwise(gone)
+    out = cut(row.select("doc_id", F.explode(gone).alias("range")).groupBy("doc_id").agg(F.collect_list("range").alias("ranges")), "ranges")
+    discard(repeated, members, distinct)
+    return out
 
 
 def merged(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -214,9 +341,8 @@ def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             ranges = batch.column(batch.schema.get_field_index("ranges"))
-            kept_text = []
-            total, removed, spans, sha = [], [], [], []
             for at, end, data, offsets in steps(batch, limit=1 << 20):
+                kept_text, total, removed, spans, sha = [], [], [], [], []
                 if kind.unit == "word":
                     starts, ends, of = words(data, offsets)
                 for i in range(end - at):
@@ -238,10 +364,10 @@ def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
                     removed.append(int(gone.sum()))
                     spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
                     sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in carried), ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept_text, pa.binary()), pa.array(sha, pa.string())],
-                names=[*carried, "doc_id", "total", "removed", "spans", "kept", "sha"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(batch.schema.get_field_index(c)).slice(at, end - at) for c in carried), ids.slice(at, end - at), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept_text, pa.binary()), pa.array(sha, pa.string())],
+                    names=[*carried, "doc_id", "total", "removed", "spans", "kept", "sha"],
+                )
 
     return run
 
@@ -249,8 +375,9 @@ def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
 def without_repeats(docs: DataFrame, kind: Kind, index: Callable, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """The carried columns, doc_id, total, removed, spans, kept (bytes, or null), sha of every document.
 
-    Kept bytes may hold parts of characters where a removed range ends inside one. Null and empty texts stay empty. Rows with a null id are kept whole and match nothing; rows that share an id
-    count as copies of one document. Texts of any length are searched whole; an empty table gives an empty result.
+    Kept bytes may hold parts of characters where a removed range ends inside one. Null and empty texts stay empty. Rows
+    with a null id are kept whole and match nothing; rows that share an id count as copies of one document and
+    lose the same ranges. Texts of any length are searched whole; an empty table gives an empty result; other columns aren't read.
     """
     ranges = removed_ranges(docs, kind, index)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)

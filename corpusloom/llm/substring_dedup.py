@@ -1,11 +1,12 @@
 """Substring deduplication: words of a 20-word window that also starts earlier go; the first stays.
 
-:mod:`repeats` brings the segments that may share a window together. A shard of them gets a compressed FM-index:
-the Burrows-Wheeler transform of its words in a wavelet matrix of packed bits, with a count every 64 bits. The
-segments' texts are streamed through it from right to left by backward search, all in step: the interval of the
-current match is extended by one word; where fewer than two occurrences are left the match is taken up anew at
-the window. Windows whose match reaches 20 words with another occurrence are reported, with the first of their
-occurrences.
+:mod:`repeats` brings the strings that may share a window together. A shard of them gets a compressed FM-index:
+the Burrows-Wheeler transform of its words in a wavelet matrix of packed bits, with a count every 64 bits, and every
+eighth place of the text. The shard's documents are streamed through it from right to left, all in step, by
+backward search: matching statistics say at each word how much of what follows occurs once more in the shard (up to
+the threshold). A word in front that leaves fewer than two occurrences shortens the match to the next interval that is
+larger. Intervals whose match reaches 20 words are reported; their places, found by walking to sampled ones, say
+which window is the first of its kind.
 """
 
 from __future__ import annotations
@@ -14,126 +15,87 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import segments, table, word_hashes, words
-from .repeats import Kind, without_repeats
-from .suffix_dedup import suffix_array
-
-LENGTH = 20
-KIND = Kind(unit="word", length=LENGTH, gram=8, keep_first=True)
-
-
-class WaveletMatrix:
-    """rank of any symbol over a sequence, in one packed bit row a level."""
-
-    def __init__(self, sequence: np.ndarray, alphabet: int):
-        self.bits = max(1, int(alphabet - 1).bit_length())
-        n, current = len(sequence), sequence
-        self.rows, self.counts, self.zeros = [], [], []
-        for level in range(self.bits - 1, -1, -1):
-            bit = ((current >> level) & 1).astype(bool)
-            padded = np.zeros((n // 64 + 1) * 64, bool)
-            padded[:n] = bit
-            packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.rows.append(packed)
-            self.counts.append(np.append(0, np.cumsum(np.bitwise_count(packed), dtype=np.int64))[:-1].astype(np.int32))
-            self.zeros.append(int(n - bit.sum()))
-            current = np.concatenate([current[~bit], current[bit]])
-        self.origin = self.descend(np.arange(alphabet), np.zeros(alphabet, np.int64))
-
-    def descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for k in range(self.bits):
-            word = i >> 6
-            ones = self.counts[k][word] + np.bitwise_count(self.rows[k][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
-            i = np.where((symbol >> (self.bits - 1 - k)) & 1, self.zeros[k] + ones, i - ones)
-        return i
-
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return self.descend(symbol, i) - self.origin[symbol]
-
-
-class FMIndex:
-    """Backward search over a text of numbers, exact for patterns of up to ``depth`` symbols."""
-
-    def __init__(self, text: np.ndarray, depth: int):
-        self.sa = suffix_array(text, depth)
-        alphabet = int(text.max()) + 1
-        self.n = len(text)
-        self.wavelet = WaveletMatrix(text[self.sa - 1], alphabet)
-        self.before = np.append(0, np.cumsum(np.bincount(text, minlength=alphabet)))[:-1]
-
-    def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
-        return self.before[symbol] + both[: len(lo)], self.before[symbol] + both[len(lo) :]
-
-
-def matches(index: FMIndex, text: np.ndarray, base: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """For each window of each segment a row of its interval, -1 where it occurs once."""
-    begin = np.cumsum(count) - count
-    found = np.full(int(count.sum()), -1, np.int64)
-    lo, hi = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)  # an empty interval: no match to extend
-    for j in range(int(count.max()) - 1, -1, -1):
-        seg = np.flatnonzero(count > j)
-        on = seg[hi[seg] - lo[seg] > 1]
-        lo[on], hi[on] = index.step(text[base[on] + j], lo[on], hi[on])
-        anew = seg[hi[seg] - lo[seg] < 2]
-        lo[anew], hi[anew] = 0, index.n
-        for d in range(LENGTH - 1, -1, -1):
-            if not len(anew):
-                break
-            lo[anew], hi[anew] = index.step(text[base[anew] + j + d], lo[anew], hi[anew])
-            lost = hi[anew] - lo[anew] < 2
-            lo[anew[lost]] = hi[anew[lost]] = 0
-            anew = anew[~lost]
-        hit = seg[hi[seg] - lo[seg] > 1]
-        found[begin[hit] + j] = lo[hit]
-    return found
-
-
-def repeated_windows(texts, doc, first, count, place, n) -> np.ndarray:
-    """Which windows of the segments, at their first places, occur in another segment of the shard at an earlier one."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    starts, ends, _ = words(data, np.array([0, len(data)]))
+from .common import spread, table, word_hashes, words
+from .fm_index import FMIndex, joined
+from .repeats import Kind, Shard, without_repeats
+
+LENGTH, GRAM = 20, 8
+SAMPLED = 8
+
+
+class Parents:
+    """For each row the ends of its interval of suffixes that share d symbols, for all d up to ``most``."""
+
+    def __init__(self, common: np.ndarray, most: int):
+        n = len(common)
+        at = np.arange(n, dtype=np.int32)
+        self.common = np.append(common, 0)
+        self.first, self.end = np.zeros((most + 1, n), np.int32), np.full((most + 1, n), n, np.int32)
+        for d in range(1, most + 1):
+            new = common < d
+            self.first[d] = np.maximum.accumulate(np.where(new, at, 0))
+            self.end[d, :-1] = np.minimum.accumulate(np.where(new, at, n)[:0:-1])[::-1]
+
+    def widened(self, depth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first[depth, lo].astype(np.int64), self.end[depth, hi - 1].astype(np.int64)
+
+
+def matching_statistics(index: FMIndex, texts: np.ndarray, base: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of strings streamed through the index: the length of the longest start of what follows that stands for two
+    or more occurrences, at most ``most``, and its interval of rows."""
+    parents = Parents(index.common_prefixes(most), most)
+    length, low, high = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    lo, hi, m = np.zeros(len(base), np.int64), np.full(len(base), index.n, np.int64), np.zeros(len(base), np.int64)
+    by_size = np.argsort(-sizes, kind="stable")
+    for j in range(int(sizes.max(initial=0)) - 1, -1, -1):
+        on = by_size[: np.searchsorted(-sizes[by_size], -j, "left")]  # strings of more than j symbols
+        todo = on
+        while len(todo):
+            a, b = index.step(texts[base[todo] + j], lo[todo], hi[todo])
+            enough = index.copies(a, b) > 1
+            go = todo[enough]
+            lo[go], hi[go], m[go] = a[enough], b[enough], m[go] + 1
+            over = go[m[go] > most]
+            m[over] = most
+            lo[over], hi[over] = parents.widened(m[over], lo[over], hi[over])
+            todo = todo[~enough]
+            todo = todo[m[todo] > 0]  # others: not even the word itself occurs again
+            m[todo] = np.minimum(m[todo] - 1, np.maximum(parents.common[lo[todo]], parents.common[hi[todo]]))
+            lo[todo], hi[todo] = parents.widened(m[todo], lo[todo], hi[todo])
+        length[base[on] + j], low[base[on] + j], high[base[on] + j] = m[on], lo[on], hi[on]
+    return length, low, high
+
+
+def repeated_windows(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a shard whether it occurs again, and whether it occurs at an earlier place."""
+    data = np.frombuffer(b" ".join(shard.texts) + b" ", np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) + 1 for t in shard.texts]))
+    starts, ends, of = words(data, offsets)
     ids = np.unique(word_hashes(data, starts, ends), return_inverse=True)[1] + 1
-    sizes = count + LENGTH - 1
-    base = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int((sizes + 1).sum()), np.int64)
-    seg, j = segments(sizes)
-    text[base[seg] + j] = ids
-    index = FMIndex(text, int(sizes.max()) + 1)
-    row = matches(index, text, base, count)
-    hit = np.flatnonzero(row >= 0)
-    gone = np.zeros(len(row), bool)
-    if not len(hit):
-        return gone
-    seg, j = segments(count)
-    order = np.empty(len(row), np.int64)
-    order[np.lexsort((first[seg] + j, doc[seg]))] = np.arange(len(row))
-    # all windows of an interval, through any of its rows: suffixes with the same 20 words are neighbours
-    same = windows_of(text, index.sa)
-    window = base[seg] + j
-    of_row = np.empty(len(text), np.int64)
-    of_row[index.sa] = same
-    low = np.full(int(same.max()) + 1, len(row))
-    np.minimum.at(low, of_row[window], order)
-    gone[hit] = low[same[row[hit]]] < order[hit]
-    return gone
-
-
-def windows_of(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """A number for each row of the suffix array, equal where the first 20 words are."""
-    rank = text
-    for k in (1, 2, 4, 8):
-        after = np.zeros_like(rank)
-        after[: len(rank) - k] = rank[k:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1]
-    after = np.zeros_like(rank)
-    after[: len(rank) - 4] = rank[4:]
-    return np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1][sa]
+    sizes = np.diff(of)
+    text, base = joined([ids[a:b] for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)])
+    index = FMIndex(text, len(text), shard.weight(base, len(text)), sampled=SAMPLED)
+    length, low, high = matching_statistics(index, text, base, sizes, LENGTH)
+    windows = shard.windows(base)
+    again = length[windows] >= LENGTH
+    later = np.zeros(len(windows), bool)
+    hit = np.flatnonzero(again)
+    if len(hit):
+        reported, which = np.unique(low[windows[hit]], return_inverse=True)
+        ends = np.empty(len(reported), np.int64)
+        ends[which] = high[windows[hit]]
+        counts = ends - reported
+        order = shard.order()
+        rank = np.full(len(text), len(windows))
+        rank[windows] = order
+        first = np.minimum.reduceat(rank[index.places(spread(reported, counts))], np.cumsum(counts) - counts)
+        later[hit] = first[which] < order[hit]
+    return again, later
 
 
 def remove_repeated_words(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
-    return without_repeats(docs, KIND, repeated_windows, with_text, carried)
+    return without_repeats(docs, Kind("word", LENGTH, GRAM, keep_first=True), repeated_windows, with_text, carried)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,13 @@
-"""Suffix-array deduplication: bytes inside a repeated 400-byte string go, in all its copies.
+"""Suffix-array deduplication: bytes inside a repeated string of 400 bytes go, in all its copies.
 
-:mod:`repeats` brings the segments that may share a window together. Here a shard of them is indexed:
+:mod:`repeats` brings the strings that may share a window together. Here a shard of them is indexed byte by byte:
 
-* 50-byte blocks are the symbols. For each of the 50 phases a segment is written as its blocks 50 bytes apart, so
-  a 400-byte string is exactly 8 consecutive symbols; a sentinel ends each phase;
-* a suffix array, sorted to 8 symbols, gives the Burrows-Wheeler transform;
-* starting from one interval of all suffixes, all intervals of the strings of k symbols are extended backward by
-  every preceding symbol at once, breadth first. The places where new intervals part are those whose common prefix
-  is k symbols, so common prefixes appear by increasing value; expansion stops at 8 symbols, the minimum length.
-
-Suffixes in an interval of two or more then share 400 bytes.
+* a suffix array gives the Burrows-Wheeler transform;
+* starting from the intervals of single bytes, intervals are extended backward by every preceding byte at once, breadth
+  first (:meth:`fm_index.FMIndex.common_prefixes`). Where a new interval ends, suffixes part; so common prefixes are
+  found by increasing value, and the expansion stops at the minimum length;
+* the rows between places with a smaller value share that many bytes. Where such an interval stands for two or more
+  occurrences (collapsed copies count as often as they occur), its windows are removed.
 """
 
 from __future__ import annotations
@@ -18,80 +16,35 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIRST, segments, spread, table
-from .repeats import Kind, without_repeats
-
-LENGTH = 400
-BLOCK = 50
-DEPTH = LENGTH // BLOCK
-KIND = Kind(unit="byte", length=LENGTH, gram=256, keep_first=False)
-
-
-def transform_text(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all phases with sentinels (0), each segment's start there, and its number of blocks."""
-    lengths = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.cumsum(lengths) - lengths
-    m = lengths - BLOCK + 1
-    at = spread(starts, m)
-    symbols = np.unique(FIRST.of(FIRST.sums(data), at, at + BLOCK), return_inverse=True)[1] + 1
-    size = m + BLOCK  # one sentinel a phase
-    base = np.cumsum(size) - size
-    text = np.zeros(int(size.sum()), np.int64)
-    seg, j = segments(m)
-    text[place_of(base[seg], m[seg], j)] = symbols
-    return text, base, m
-
-
-def place_of(base: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Where block j of a segment of m blocks is written."""
-    phase = j % BLOCK
-    return base + phase * (m // BLOCK + 1) + np.minimum(phase, m % BLOCK) + j // BLOCK
-
-
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols, by doubling."""
-    rank, have = text, 1
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.zeros_like(rank)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1]
-        have += step
-    return np.argsort(rank, kind="stable")
-
-
-def interval_starts(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
-    """Where in the suffix array an interval of suffixes with ``depth`` common symbols starts."""
-    n = len(text)
-    first, before = text[sa], text[sa - 1]
-    back = np.empty(n, np.int64)  # the row of each row's suffix with the preceding symbol in front
-    back[np.argsort(before, kind="stable")] = np.arange(n)
-    parted = first[1:] != first[:-1]
-    starts = np.zeros(n, bool)
-    starts[0] = True
-    owner = np.empty(n, np.int64)
-    for _ in range(depth):
-        owner[back] = np.cumsum(starts)
-        starts = np.append(True, parted | (owner[1:] != owner[:-1]))
-    return starts
-
-
-def repeated_windows(texts, doc, first, count, place, n) -> np.ndarray:
-    """Which windows of the segments occur in another segment of the shard."""
-    text, base, m = transform_text(texts)
-    sa = suffix_array(text, DEPTH)
-    starts = np.flatnonzero(interval_starts(text, sa, DEPTH))
-    sizes = np.diff(np.append(starts, len(text)))
-    shared = np.zeros(len(text), bool)
-    shared[sa] = np.repeat(sizes > 1, sizes)
-    seg, j = segments(count)
-    return shared[place_of(base[seg], m[seg], j)]
-
-
-def remove_repeated_bytes(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
-    return without_repeats(docs, KIND, repeated_windows, with_text, carried)
+from .common import table
+from .fm_index import FMIndex, intervals, joined
+from .repeats import Kind, Shard, without_repeats
+
+LENGTH, GRAM = 400, 256
+
+
+def repeated_windows(length: int):
+    """For each window of a shard whether it occurs again (for both answers: all copies go)."""
+
+    def index(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        text, base = joined([np.frombuffer(t, np.uint8).astype(np.int64) + 1 for t in shard.texts])
+        found = FMIndex(text, length, shard.weight(base, len(text)))
+        first, of = intervals(found.common_prefixes(length), length)
+        copies = found.copies(first, np.append(first[1:], found.n))
+        at = np.empty(found.n, np.int64)
+        at[found.sa] = copies[of]
+        again = at[shard.windows(base)] > 1
+        return again, again
+
+    return index
+
+
+def remove_repeated_bytes(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = (), length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows.
+
+    ``length`` is the shortest repeated string that goes; ``gram`` (shorter) only deals text to shards.
+    """
+    return without_repeats(docs, Kind("byte", length, gram, keep_first=False), repeated_windows(length), with_text, carried)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from corpusloom.llm import common as C
-from corpusloom.llm import html_extract, packing, repeats, substring_dedup, suffix_dedup
+from corpusloom.llm import fm_index, html_extract, packing, repeats, substring_dedup, suffix_dedup
 from corpusloom.llm.ngram_join import candidates, forest, shingles
 from corpusloom.llm.piece_codec import PieceCodec
 from hypothesis import given, settings
@@ -146,19 +146,24 @@ def test_shingles():
     assert len(set(h[:2].tolist()) & set(h[3:].tolist())) == 1
 
 
-def plain_words(texts, first, count, doc):
-    """Windows of each segment with an earlier equal one among all segments' windows."""
-    seen, keys = {}, []
-    for t, f, c, d in zip(texts, first, count, doc, strict=True):
-        w = t.split()
-        keys += [(tuple(w[j : j + 20]), (d, f + j)) for j in range(c)]
-    for k, at in keys:
+def shard_of(texts, count, doc, copies):
+    n = len(texts)
+    zero = np.zeros(n, int)
+    return repeats.Shard(texts, np.arange(n), zero, np.array(count), np.array(copies), np.array(doc), zero)
+
+
+def plain_windows(texts, count, doc, copies, cut):
+    """For each window whether it occurs again, and whether in an earlier document or at an earlier place."""
+    keys = [(cut(t, j), (d, j), n) for t, c, d, n in zip(texts, count, doc, copies, strict=True) for j in range(c)]
+    times, seen = {}, {}
+    for k, at, n in keys:
+        times[k] = times.get(k, 0) + n
         seen[k] = min(seen.get(k, at), at)
-    return [seen[k] < at for k, at in keys]
+    return [times[k] > 1 for k, _, _ in keys], [seen[k] < at for k, at, _ in keys]
 
 
-def test_fm_index_finds_earlier_windows():
-    rng = random.Random(1)
+def word_shard(seed=1):
+    rng = random.Random(seed)
     base = [str(rng.randint(0, 99)) for _ in range(60)]
     texts, count = [], []
     for _ in range(40):
@@ -170,38 +175,97 @@ def test_fm_index_finds_earlier_windows():
             w[rng.randrange(len(w))] = "new"
         texts.append(" ".join(w).encode())
         count.append(c)
-    doc, first = np.arange(40)[::-1].copy(), np.zeros(40, int)
-    got = substring_dedup.repeated_windows(texts, doc, first, np.array(count), None, None)
-    assert got.tolist() == plain_words([t.decode() for t in texts], first, count, doc)
+    return texts, count, list(range(40))[::-1], [rng.choice((1, 1, 3)) for _ in range(40)]
 
 
-def test_interval_expansion_finds_shared_windows():
+def byte_shard(length=400):
     rng = random.Random(2)
     base = bytes(rng.choices(b"abcdef gh", k=1200))
     texts, count = [], []
     for _ in range(20):
         c = rng.randint(1, 145)
-        at = rng.randint(0, 1200 - 399 - c)
-        t = bytearray(base[at : at + c + 399])
+        at = rng.randint(0, 1200 - (length - 1) - c)
+        t = bytearray(base[at : at + c + length - 1])
         if rng.random() < 0.6:
             t[rng.randrange(len(t))] = 33
         texts.append(bytes(t))
         count.append(c)
-    got = suffix_dedup.repeated_windows(texts, None, None, np.array(count), None, None)
-    seen = {}
-    for t, c in zip(texts, count, strict=True):
-        for j in range(c):
-            seen[t[j : j + 400]] = seen.get(t[j : j + 400], 0) + 1
-    assert got.tolist() == [seen[t[j : j + 400]] > 1 for t, c in zip(texts, count, strict=True) for j in range(c)]
+    return texts, count, list(range(20)), [rng.choice((1, 1, 2)) for _ in range(20)]
+
+
+def test_fm_index_finds_earlier_windows():
+    texts, count, doc, copies = word_shard()
+    again, later = substring_dedup.repeated_windows(shard_of(texts, count, doc, copies))
+    want = plain_windows(texts, count, doc, copies, lambda t, j: tuple(t.split()[j : j + 20]))
+    assert (again.tolist(), later.tolist()) == want
+    assert any(want[1]) and not all(want[0])
+
+
+@pytest.mark.parametrize("length", [200, 400])
+def test_interval_expansion_finds_shared_windows(length):
+    texts, count, doc, copies = byte_shard(length)
+    again, _ = suffix_dedup.repeated_windows(length)(shard_of(texts, count, doc, copies))
+    want = plain_windows(texts, count, doc, copies, lambda t, j: t[j : j + length])[0]
+    assert again.tolist() == want and any(want) and not all(want)
+
+
+def test_verdicts_come_from_the_index(monkeypatch):
+    """With an index that finds nothing nothing goes: there is no way beside it."""
+    monkeypatch.setattr(fm_index.FMIndex, "copies", lambda self, lo, hi: np.ones(len(lo), int))
+    assert not substring_dedup.repeated_windows(shard_of(*word_shard()))[0].any()
+    assert not suffix_dedup.repeated_windows(400)(shard_of(*byte_shard()))[0].any()
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=14), min_size=1, max_size=5), st.integers(1, 9))
+@settings(max_examples=120, deadline=None)
+def test_common_prefixes_and_search(texts, most):
+    text, base = fm_index.joined([np.frombuffer(t.encode(), np.uint8).astype(np.int64) - 96 for t in texts])
+    index = fm_index.FMIndex(text, len(text), np.ones(len(text), int), sampled=3)
+    rest = [int(np.argmax(text[i:] == 0)) for i in range(len(text))]
+    rows = index.places(np.arange(len(text))).tolist()
+    assert sorted(rows) == list(range(len(text))) and rows == sorted(rows, key=lambda i: text[i:].tolist())
+    common = index.common_prefixes(most)
+    for r in range(1, len(rows)):
+        a, b = rows[r - 1], rows[r]
+        want = next((k for k in range(most) if k >= min(rest[a], rest[b]) or text[a + k] != text[b + k]), most)
+        assert min(int(common[r]), rest[a], rest[b]) == want
+    sizes = np.array([len(t) for t in texts])
+    length, low, high = substring_dedup.matching_statistics(index, text, base, sizes, most)
+    for t, at in zip(texts, base.tolist(), strict=True):
+        for j in range(len(t)):
+            want = max(k for k in range(min(most, len(t) - j) + 1) if not k or sum(x.startswith(t[j : j + k], i) for x in texts for i in range(len(x))) > 1)
+            assert length[at + j] == want
+            if want:
+                found = [rows[r] for r in range(low[at + j], high[at + j])]
+                assert sorted(found) == sorted(b + i for x, b in zip(texts, base.tolist(), strict=True) for i in range(len(x)) if x.startswith(t[j : j + want], i))
 
 
 def test_segments_cover_each_window_once():
     rng = random.Random(3)
     raw = [bytes(rng.choices(b"ab ", k=n)) for n in (0, 399, 400, 401, 2000)] + [b"a" * 900]
     offsets = np.append(0, np.cumsum([len(r) for r in raw]))
-    doc, anchor, content, first, count, place = repeats.segments_of(suffix_dedup.KIND, np.frombuffer(b"".join(raw), np.uint8), offsets)
-    windows = [(d, f + j) for d, f, c in zip(doc.tolist(), first.tolist(), count.tolist(), strict=True) for j in range(c)]
-    assert sorted(windows) == [(i, j) for i, r in enumerate(raw) for j in range(max(0, len(r) - 399))]
+    kind = repeats.Kind("byte", 400, 256, False)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    grams = repeats.grams_of(kind, data)
+    for frequent in (None, repeats.Frequent(grams[rng.sample(range(len(grams)), 900)])):
+        doc, anchor, content, first, count = repeats.segments_of(kind, data, offsets, frequent)
+        windows = [(d, f + j) for d, f, c in zip(doc.tolist(), first.tolist(), count.tolist(), strict=True) for j in range(c)]
+        assert sorted(windows) == [(i, j) for i, r in enumerate(raw) for j in range(max(0, len(r) - 399))]
+
+
+def test_frequent_grams_anchor_only_windows_of_nothing_else():
+    kind = repeats.Kind("byte", 40, 8, False)
+    rng = random.Random(5)
+    passage = bytes(rng.choices(b"abcdefgh", k=120))
+    raw = [bytes(rng.choices(b"xyzuvw", k=80)) + passage + bytes(rng.choices(b"xyzuvw", k=80)) for _ in range(30)]
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    frequent = repeats.Frequent(np.unique(repeats.grams_of(kind, np.frombuffer(passage, np.uint8))))
+    most = []
+    for known in (None, frequent):
+        _, anchor, content, _, _ = repeats.segments_of(kind, data, offsets, known)
+        most.append(max(len(set(content[anchor == a].tolist())) for a in set(anchor.tolist())))
+    assert most[0] == 30 and most[1] <= 12
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
