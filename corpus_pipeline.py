@@ -22,6 +22,9 @@ from corpusloom.llm.suffix_dedup import remove_repeated_bytes
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of the shortest passage that goes when it repeats; passages of more than 50 words are longer than this.
+PASSAGE = 200
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,8 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice or more go from the texts; a character cut in part goes whole."""
-    out = remove_repeated_bytes(docs, carried=("lang", "source"))
+    """Strings of ``PASSAGE`` bytes that occur twice or more go from the texts; a character cut in part goes whole."""
+    out = remove_repeated_bytes(docs, carried=("lang", "source"), length=PASSAGE, gram=PASSAGE * 5 // 8)
     raw = F.col("kept").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.translate(F.make_valid_utf8(raw), "\ufffd", ""))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
