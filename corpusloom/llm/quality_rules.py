@@ -1,11 +1,15 @@
 """Quality rules with thresholds that follow the data, in DataFrame operations only.
 
-Every document is measured in one pass without a shuffle. Each ratio is put on a logarithmic scale of fixed bins
-(relative width ``GROWTH``): counts per bin are a quantile sketch that merges by addition, in any order, with a
-relative error of half a bin. The sketches are kept per language and source and merged upwards, to the language
-and to all documents; a group of fewer than ``LEAST`` documents uses the next larger one. From the quartiles
-of its group each ratio gets a fence, and the documents are joined with the fences (a table of one row a group)
-and filtered.
+Every document is measured in one pass without a shuffle. A ratio of counts is taken as far as its count exceeds
+chance (the count less ``CHANCE`` times its root): one repeated line of five says little, fifty of 250 do. Each ratio is put
+on a logarithmic scale of fixed bins (relative width ``GROWTH``): counts per bin are a quantile sketch that merges by
+addition, in any order, with a relative error of a bin. The sketches are kept per language and source and merged
+upwards, to the language and to all documents; a group of fewer than ``LEAST`` documents uses the next larger one.
+
+Quantiles of the group are the only source of its fences (``RULES``): a ratio is rejected beyond an outer quantile plus so many times
+that quantile's distance from the median. No cutoff is fixed: where three quarters of a source have no symbols any of them stands
+out, and where most documents are full of them none does. The documents are joined with the fences (a table of one
+row a group) and filtered.
 """
 
 from __future__ import annotations
@@ -25,18 +29,21 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 LEAST = 50
 #: A bin's upper end over its lower end.
-GROWTH = 1.05
+GROWTH = 1.01
 #: Values below this count as this (bin 0).
 FLOOR = 1e-3
-#: A fence lies this many spreads (median to lower or upper quartile) away, and at least at this value, as no
-#: fence should cut into ordinary text where a group's spread is zero: (ratio, side, least or most, spreads).
+#: Roots of a count that chance may bring.
+CHANCE = 3.0
+#: The least distance between quantiles, as a share of the median: a bin, which is what the sketch can tell apart.
+APART = GROWTH - 1
+#: (ratio, side, outer quantile, how many times its distance from the median the fence lies beyond it)
 RULES = [
-    ("symbols_per_word", "high", 0.1, 8.0),
-    ("dup_line_share", "high", 0.4, 8.0),
-    ("repeat_share", "high", 0.35, 8.0),
-    ("capital_share", "high", 0.3, 8.0),
-    ("chars_per_word", "high", 10.0, 8.0),
-    ("chars_per_word", "low", 2.5, 8.0),
+    ("symbols_per_word", "high", 0.75, 8.0),
+    ("dup_line_share", "high", 0.75, 8.0),
+    ("repeat_share", "high", 0.99, 1.0),
+    ("capital_share", "high", 0.75, 12.0),
+    ("chars_per_word", "high", 0.75, 8.0),
+    ("chars_per_word", "low", 0.25, 8.0),
 ]
 
 
@@ -74,11 +81,12 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def ratios(counted: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    beyond = lambda c: F.greatest(F.col(c) - CHANCE * F.sqrt(F.col(c).cast("double")), F.lit(0.0))
     return counted.withColumns({
-        "symbols_per_word": F.col("n_symbols") / n,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / n,
-        "capital_share": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "symbols_per_word": beyond("n_symbols") / n,
+        "dup_line_share": beyond("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "repeat_share": beyond("n_repeat_words") / n,
+        "capital_share": beyond("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
         "chars_per_word": F.col("word_chars") / n,
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
@@ -93,34 +101,34 @@ def value_of(at: Column) -> Column:
 
 
 def fences(measures: DataFrame) -> DataFrame:
-    """One row a (lang, source) with the fence of each rule. The sketches hold at most a few hundred bins a ratio
+    """One row a (lang, source) with the fence of each rule. The sketches hold at most about a thousand bins a ratio
     and group, whatever the number of documents; a hot source is summed before the shuffle."""
     names = sorted({r[0] for r in RULES})
     entries = F.array(*[F.struct(F.lit(n).alias("ratio"), bin_of(F.col(n)).alias("bin")) for n in names])
     long = measures.where(~F.col("base_failed")).select("lang", "source", F.explode(entries).alias("x"))
     sketch = cut(long.groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n")), "sketch")
 
-    def quartiles(level: str, keys: list[str]) -> DataFrame:
+    def quantiles(level: str, keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "ratio")
         run = merged.select(*keys, "ratio", "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total"))
         at = lambda name, q: F.min(F.when((F.col("ratio") == name) & (F.col("upto") >= q * F.col("total")), F.col("bin")))
-        found = [F.struct(*[at(n, q).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75), 1)]).alias(n) for n in names]
+        found = [F.struct(at(name, 0.5).alias("middle"), at(name, q).alias("outer")).alias(f"{side}_{name}") for name, side, q, _ in RULES]
         return run.groupBy(*keys).agg(F.struct(F.max("total").alias("total"), *found).alias(level))
 
     out = measures.select("lang", "source").distinct()
     for level, keys in (("of_source", ["lang", "source"]), ("of_lang", ["lang"]), ("of_all", [])):
-        right = quartiles(level, keys).select(*[F.col(k).alias(f"right_{k}") for k in keys], level)
+        right = quantiles(level, keys).select(*[F.col(k).alias(f"right_{k}") for k in keys], level)
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys], F.lit(True))
         out = out.join(right, on, "left").drop(*[f"right_{k}" for k in keys])
     enough = lambda level: F.when(F.col(level)["total"] >= LEAST, F.col(level))
     out = out.select("lang", "source", F.coalesce(enough("of_source"), enough("of_lang"), enough("of_all"), F.col("of_all")).alias("q"))
     limits = []
-    for name, side, bound, spreads in RULES:
-        q = F.col("q")[name]
-        spread = F.least(q["q3"] - q["q2"], q["q2"] - q["q1"]) * spreads  # the tighter half: the other may hold the junk
-        limit = F.greatest(value_of(q["q2"] + spread), F.lit(bound)) if side == "high" else F.least(value_of(q["q2"] - spread - 1), F.lit(bound))
-        limits.append(limit.alias(f"{side}_{name}"))
+    for name, side, _, times in RULES:
+        q = F.col("q")[f"{side}_{name}"]
+        middle, outer = value_of(q["middle"]), value_of(q["outer"] if side == "high" else q["outer"] - 1)
+        reach = times * F.greatest(F.abs(outer - middle), APART * middle)
+        limits.append((outer + reach if side == "high" else outer - reach).alias(f"{side}_{name}"))
     return out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *limits)
 
 

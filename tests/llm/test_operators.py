@@ -146,6 +146,62 @@ def test_quality_follows_the_labels(spark, docs):
     assert out[out.quality == 0].kept.mean() < 0.2
 
 
+def plain_verdicts(rows):
+    """kept of (lang, source, counts) rows, sorted values in place of sketches."""
+    q = quality_rules
+    live = [r for r in rows if not (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])]
+    over = lambda n: max(n - 3 * math.sqrt(n), 0)
+    ratio = {
+        "symbols_per_word": lambda r: over(r["n_symbols"]) / r["n_words"],
+        "dup_line_share": lambda r: over(r["n_dup_lines"]) / max(r["n_lines"], 1),
+        "repeat_share": lambda r: over(r["n_repeat_words"]) / r["n_words"],
+        "capital_share": lambda r: over(r["n_capitals"]) / r["word_chars"],
+        "chars_per_word": lambda r: r["word_chars"] / r["n_words"],
+    }
+    bin_of = lambda v: math.ceil(math.log(max(v, q.FLOOR) / q.FLOOR) / math.log(q.GROWTH))
+    value = lambda k: q.FLOOR * q.GROWTH**k
+    kept = []
+    for r in rows:
+        good = r in live
+        for name, side, p, times in q.RULES if good else []:
+            groups = [[x for x in live if (x["lang"], x["source"]) == (r["lang"], r["source"])], [x for x in live if x["lang"] == r["lang"]], live]
+            group = next((g for g in groups if len(g) >= q.LEAST), live)
+            bins = sorted(bin_of(ratio[name](x)) for x in group)
+            middle, outer = (bins[math.ceil(share * len(bins)) - 1] for share in (0.5, p))
+            v = ratio[name](r)
+            if side == "high":
+                good &= v <= value(outer) + times * max(value(outer) - value(middle), q.APART * value(middle))
+            else:
+                good &= v >= value(outer - 1) - times * max(value(middle) - value(outer - 1), q.APART * value(middle))
+        kept.append(good)
+    return kept
+
+
+def test_quality_verdicts(spark, docs):
+    plain = [r.asDict() for r in quality_rules.measured(docs).orderBy("doc_id").collect()]
+    got = [r["kept"] for r in quality_rules.op7_quality_rules(spark, DATA).orderBy("doc_id").collect()]
+    assert got == plain_verdicts(plain) and 0 < sum(got) < len(got)
+
+
+def test_fences_follow_their_source(spark, monkeypatch):
+    """The same text stands out in one source and not in another; verdicts hang on the sketches, not on their order."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "kappa", "omega", "lambda", "theta"]
+    prose = lambda n, every: " ".join(("#x=*y* " if every and k % every == 0 else "") + words[rng.integers(10)] + str(rng.integers(10**6)) for k in range(n))
+    rows = [(i, prose(80, 0), "en", "books") for i in range(120)] + [(200 + i, prose(80, int(rng.integers(2, 9))), "en", "code") for i in range(120)]
+    rows += [(1000, prose(80, 4), "en", "books"), (1001, prose(80, 4), "en", "code")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    verdict = lambda d: {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(d).collect()}
+    first = verdict(frame)
+    assert not first[1000] and first[1001]
+    assert verdict(frame.repartition(7).orderBy(F.desc("doc_id"))) == first
+    limits = quality_rules.fences(quality_rules.ratios(quality_rules.measured(frame))).collect()
+    assert len({r["high_symbols_per_word"] for r in limits}) == 2
+    real = quality_rules.fences
+    monkeypatch.setattr(quality_rules, "fences", lambda m: real(m).withColumns({"high_symbols_per_word": F.lit(0.1)}))
+    assert not verdict(frame)[1001]
+
+
 def test_scores(docs):
     got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
     tokens = {i: [*t.encode().lower().split(), None] for i, t in texts_of(docs).items()}
