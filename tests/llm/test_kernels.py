@@ -1,9 +1,11 @@
 """The numpy parts against plain versions; no session."""
 
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -292,6 +294,64 @@ def test_parts_beside_a_long_body_are_kept():
     assert got.split("\n")[30:] == ["Coda", "Short one."]
 
 
+BODY = "<h1>Head</h1><p>The first paragraph, which is long enough.</p><p>The second, with commas, too.</p><p>A third one.</p>"
+WANT = "Head\nThe first paragraph, which is long enough.\nThe second, with commas, too.\nA third one."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page no-sidebar">{}</div>', '<div id="layout" class="comments-open wrap"><article>{}</article></div>', '<div class="side-by-side">{}</div>',
+        '<div class="has-navigation content"><article>{}</article></div>', '<body class="promo"><main>{}</main></body>', '<form id=f><div>{}</div><select><option>x</option></select></form>',
+        '<div class="social">{}</div>', '<article><div class="share-price">{}</div></article>', '<header><div>Site, name</div></header><article>{}</article>',
+        '<article>{}<section class="comments"><article class="comment"><p>Nice, nice, nice, nice article of yours!</p></article></section></article>',
+        '<article>{}<div class="share-price"><a href=/x>link, to something</a></div><div class="cookie-banner">We use cookies, as all do.</div></article>',
+        '<div class=sidebar><p>Aside, of all this, here.</p></div><div>{}</div><div class="site-footer">c</div>',
+    ],
+)
+def test_names_lower_scores_and_never_take_the_article(page):
+    assert html_extract.extract(page.replace("{}", BODY)) == WANT
+
+
+def test_text_of_inline_kinds_stays():
+    got = html_extract.extract("<article><p>So <math><mi>x</mi></math>, <svg><text>y</text></svg> and <label>z</label>.</p><noscript><p>Plain, too.</p></noscript></article>")
+    assert got == "So x, y and z.\nPlain, too."
+
+
+class Article(HTMLParser):
+    """A plain second way for the pages of the test tables: the blocks of the article element."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br" and self.blocks:
+            self.blocks[-1] += " "
+        elif tag not in ("b", "a", "i"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag not in ("b", "a", "i"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_of_the_tables():
+    rows = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    for r in rows:
+        plain = Article()
+        plain.feed(r["html"] or "")
+        want = "\n".join(x for x in (" ".join(b.split()) for b in plain.blocks) if x)
+        assert html_extract.extract(r["html"]) == want
+    assert rows
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a '", "</p></p>", "<!-- x", "plain, text", "<script>x"])
 def test_odd_pages_do_not_crash(page):
     assert isinstance(html_extract.extract(page), str)
