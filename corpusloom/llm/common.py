@@ -165,6 +165,16 @@ class Prefix:
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+    def grams(self, symbols: np.ndarray, size: int) -> np.ndarray:
+        """The hash of every ``size`` consecutive symbols."""
+        sums = self.sums(symbols)
+        _, down = self.powers(len(sums) + 1)
+        out = sums[size:] - sums[: len(sums) - size]
+        out *= down[: len(out)]
+        out += np.uint64(size)
+        return mix(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser over 64 bits (public-domain constants of a well-known avalanche function)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -193,25 +203,15 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the minimum of each ``width`` consecutive values, the rightmost of equal ones; compared on the
-    upper 52 bits. Block prefix and suffix minima whose low bits carry the place: linear in the input."""
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.int64)
-    low = np.uint64(0xFFF)
-    if width > 4000:
-        raise ValueError("width is at most 4000")
-    pad = (-n) % width
-    place = np.tile((width - 1 - np.arange(width)).astype(np.uint64), (n + pad) // width)
-    packed = np.full(n + pad, np.iinfo(np.uint64).max, np.uint64)
-    packed[:n] = (values & ~low) | place[:n]
-    rows = packed.reshape(-1, width)
-    left = np.minimum.accumulate(rows, axis=1).ravel()[width - 1 : n]
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()[: n - width + 1]
-    at = np.arange(n - width + 1)
-    from_left = (left & ~low) <= (right & ~low)
-    block = np.where(from_left, at + width - 1, at) // width
-    return block * width + (width - 1) - (np.where(from_left, left, right) & low).astype(np.int64)
+    """The minimum of each ``width`` consecutive values, by doubling the width."""
+    out, have = values, 1
+    if len(out) < width:
+        return out[:0]
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

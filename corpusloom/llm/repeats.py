@@ -1,8 +1,8 @@
 """Finding every window of L consecutive symbols (words or bytes) that occurs more than once in a corpus.
 
-No shard is compared with all documents. Each window names an *anchor*: the gram of ``gram`` symbols inside it with
-the smallest key (the rightmost of equal ones). Equal windows have equal anchors at equal places, so only windows
-under one anchor need comparing, and consecutive windows under one anchor form one *segment*. Anchors only deal text
+No shard is compared with all documents. Each window names an *anchor*: the smallest key (hash) of the grams of ``gram``
+symbols inside it. Equal windows have equal anchors, so only windows under one anchor need comparing, and consecutive windows
+under one anchor form one *segment* (of bounded length). Anchors only deal text
 to shards; what repeats is said by an index over the shard's text:
 
 1. anchors are counted (summed before the shuffle); those seen once are done with;
@@ -66,7 +66,7 @@ class Frequent:
         self.table[self.values >> np.uint64(42)] = True
 
     def holds(self, x: np.ndarray) -> np.ndarray:
-        out = self.table[x >> np.uint64(42)]
+        out = self.table[(x >> np.uint64(42)).view(np.int64)]
         maybe = np.flatnonzero(out)
         if len(maybe):
             at = np.minimum(np.searchsorted(self.values, x[maybe]), len(self.values) - 1)
@@ -74,35 +74,44 @@ class Frequent:
         return out
 
 
-def grams_of(kind: Kind, symbols: np.ndarray) -> np.ndarray:
-    at = np.arange(len(symbols) - kind.gram + 1)
-    return FIRST.of(FIRST.sums(symbols), at, at + kind.gram)
-
-
-def segments_of(kind: Kind, data: np.ndarray, offsets: np.ndarray, frequent: Frequent | None = None) -> tuple[np.ndarray, ...]:
-    """(document, anchor, content hash, first window, windows) arrays."""
-    symbols, first = symbols_of(kind, data, offsets)
+def anchored(kind: Kind, symbols: np.ndarray, first: np.ndarray, frequent: Frequent | None) -> tuple[np.ndarray, ...]:
+    """(first window in the text, windows, anchor) of each segment."""
     n, size = len(symbols), kind.length
     if n < size:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    grams = grams_of(kind, symbols)
+        return none, none, none
+    grams = FIRST.grams(symbols, kind.gram)
     keys = grams
     if frequent is not None:
-        keys = (grams >> np.uint64(1)) | (frequent.holds(grams).astype(np.uint64) << np.uint64(63))
+        keys = grams >> np.uint64(1)
+        hot = frequent.holds(grams)
+        keys[hot] |= np.uint64(1 << 63)
     low = window_min(keys, size - kind.gram + 1)
-    lengths = np.diff(first)
-    end = np.repeat(first[1:], lengths)[: n - size + 1]
-    valid = np.arange(n - size + 1) + size <= end
-    change = np.ones(n - size + 1, bool)
-    change[1:] = (low[1:] != low[:-1]) | (valid[1:] != valid[:-1]) | (end[1:] != end[:-1])
-    begin = np.flatnonzero(change)
-    count = np.diff(np.append(begin, n - size + 1))
-    own = valid[begin]
-    begin, count = begin[own], count[own]
+    change = np.empty(n - size + 2, bool)  # with the end of the last segment
+    np.not_equal(low[1:], low[:-1], out=change[1:-1])
+    change[0] = change[-1] = True
+    bounds = np.concatenate([first, first[1:] - size + 1])  # documents, and the first windows that would leave them
+    change[bounds[(bounds >= 0) & (bounds < len(change))]] = True
+    edges = np.flatnonzero(change)
+    begin, count = edges[:-1], np.diff(edges)
+    inside = begin + size <= first[np.searchsorted(first, begin, "right")]
+    begin, count = begin[inside], count[inside]
+    most = 4 * size
+    if len(count) and count.max() > most:  # one gram over and over
+        pieces = -(-count // most)
+        piece, k = segments(pieces)
+        begin = begin[piece] + most * k
+        count = np.minimum(count[piece] - most * k, most)
+    return begin, count, signed(low[begin])
+
+
+def segments_of(kind: Kind, data: np.ndarray, offsets: np.ndarray, frequent: Frequent | None = None) -> tuple[np.ndarray, ...]:
+    """(document, anchor, content hash, first window, windows) arrays."""
+    symbols, first = symbols_of(kind, data, offsets)
+    begin, count, anchor = anchored(kind, symbols, first, frequent)
     doc = np.searchsorted(first, begin, "right") - 1
-    content = SECOND.of(SECOND.sums(symbols), begin, begin + count + size - 1)
-    return doc, signed(grams[low[begin]]), signed(content), begin - first[doc], count
+    content = SECOND.of(SECOND.sums(symbols), begin, begin + count + kind.length - 1)
+    return doc, anchor, signed(content), begin - first[doc], count
 
 
 def each_step(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,9 +127,9 @@ def count_grams(kind: Kind) -> Callable:
                 symbols, first = symbols_of(kind, data, offsets)
                 if len(symbols) < kind.gram:
                     continue
-                at = np.arange(len(symbols) - kind.gram + 1)
-                own = at + kind.gram <= np.repeat(first[1:], np.diff(first))[: len(at)]
-                got, n = np.unique(grams_of(kind, symbols)[own], return_counts=True)
+                grams = FIRST.grams(symbols, kind.gram)
+                own = np.arange(len(grams)) + kind.gram <= np.repeat(first[1:], np.diff(first))[: len(grams)]
+                got, n = np.unique(grams[own], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(got)), pa.array(n)], names=["gram", "n"])
 
     return run
@@ -140,7 +149,7 @@ def count_anchors(kind: Kind, frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in each_step(batch):
-                got, n = np.unique(segments_of(kind, data, offsets, frequent.value)[1], return_counts=True)
+                got, n = np.unique(anchored(kind, *symbols_of(kind, data, offsets), frequent.value)[2], return_counts=True)
                 if len(got):
                     yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], names=["anchor", "n"])
 

@@ -20,7 +20,7 @@ from .common import table
 from .fm_index import FMIndex, intervals, joined
 from .repeats import Kind, Shard, without_repeats
 
-LENGTH, GRAM = 400, 256
+LENGTH, GRAM = 400, 200
 
 
 def repeated_windows(length: int):
