@@ -2,7 +2,7 @@
 
 No shard is compared with all documents. Each window names an *anchor*: the smallest key (hash) of the grams of ``gram``
 symbols inside it. Equal windows have equal anchors, so only windows under one anchor need comparing, and consecutive windows
-under one anchor form one *segment* (of bounded length). Anchors only deal text
+under one occurrence of an anchor form one *segment*. Anchors only deal text
 to shards; what repeats is said by an index over the shard's text:
 
 1. anchors are counted (summed before the shuffle); those seen once are done with;
@@ -86,7 +86,8 @@ def anchored(kind: Kind, symbols: np.ndarray, first: np.ndarray, frequent: Frequ
         keys = grams >> np.uint64(1)
         hot = frequent.holds(grams)
         keys[hot] |= np.uint64(1 << 63)
-    low = window_min(keys, size - kind.gram + 1)
+    place = np.arange(len(keys), dtype=np.uint64)  # its low bits tell one occurrence of a gram from the next
+    low = window_min((keys | np.uint64(0xFFF)) ^ (place & np.uint64(0xFFF)), size - kind.gram + 1)
     change = np.empty(n - size + 2, bool)  # with the end of the last segment
     np.not_equal(low[1:], low[:-1], out=change[1:-1])
     change[0] = change[-1] = True
@@ -96,13 +97,7 @@ def anchored(kind: Kind, symbols: np.ndarray, first: np.ndarray, frequent: Frequ
     begin, count = edges[:-1], np.diff(edges)
     inside = begin + size <= first[np.searchsorted(first, begin, "right")]
     begin, count = begin[inside], count[inside]
-    most = 4 * size
-    if len(count) and count.max() > most:  # one gram over and over
-        pieces = -(-count // most)
-        piece, k = segments(pieces)
-        begin = begin[piece] + most * k
-        count = np.minimum(count[piece] - most * k, most)
-    return begin, count, signed(low[begin])
+    return begin, count, signed(low[begin] >> np.uint64(12))
 
 
 def segments_of(kind: Kind, data: np.ndarray, offsets: np.ndarray, frequent: Frequent | None = None) -> tuple[np.ndarray, ...]:
