@@ -49,9 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later jobs start from the files, so a lost
-    executor costs no recomputation."""
+    executor costs no recomputation. A collection on the driver then lets Spark's cleaner delete the shuffle files that
+    only led to the table."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

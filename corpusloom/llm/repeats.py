@@ -157,7 +157,7 @@ def list_segments(kind: Kind, frequent) -> Callable:
             for ids, data, offsets in each_step(batch):
                 doc, anchor, content, first, count = segments_of(kind, data, offsets, frequent.value)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, ids[doc], first, count)], names=["anchor", "content", "doc_id", "first", "count"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, ids[doc], first, count.astype(np.int32))], names=["anchor", "content", "doc_id", "first", "count"])
 
     return run
 
@@ -309,13 +309,13 @@ def removed_ranges(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
     hot = F.broadcast(repeated.where(F.col("n") > most).select("anchor", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = lambda on: F.explode(F.sequence(F.lit(0), F.when(on, SALTS - 1).otherwise(0)))
-    found = docs.mapInArrow(list_segments(kind, frequent), "anchor long, content long, doc_id long, first long, count long").join(hot, "anchor", "left").withColumn("salt", salt)
-    kept = repeated.select("anchor", salts(F.col("n") > most).alias("salt"))
+    found = docs.mapInArrow(list_segments(kind, frequent), "anchor long, content long, doc_id long, first long, count int").join(hot, "anchor", "left").withColumn("salt", salt).drop("hot")
+    kept = repeated.select("anchor", (F.col("n") > most).alias("hot"), salts(F.col("n") > most).alias("salt"))
     members = cut(found.join(kept, ["anchor", "salt"]), "segments")
     distinct = members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "count")).alias("at"), F.max("hot").alias("hot"))
     distinct = cut(distinct, "distinct")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor", F.lit(True).alias("shared"))
-    wanted = distinct.join(shared, "anchor", "left").select(F.col("at.doc_id").alias("doc_id"), F.struct("anchor", "content", "n", "at.first", "at.count", F.coalesce("shared", F.lit(False)).alias("shared")).alias("one"))
+    wanted = distinct.join(shared, "anchor", "left").select(F.col("at.doc_id").alias("doc_id"), F.struct("anchor", "content", "n", "at.first", F.col("at.count").cast("long").alias("count"), F.coalesce("shared", F.lit(False)).alias("shared")).alias("one"))
     lists = wanted.groupBy("doc_id").agg(F.collect_list("one").alias("wanted"))
     strings = docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(fetch(kind), STRINGS)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
