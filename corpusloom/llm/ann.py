@@ -8,15 +8,17 @@ these chances until their sum reaches a level, which is set on a sample (at most
 queries of it, all bounded) so that the sample's recall reaches ``AIM``. All vectors are indexed.
 
 Buckets are dealt to shards by table and bucket; shards beyond ``SHARD`` vectors are salted by vector and their
-queries go to every part. Each part reranks its candidates exactly, and the tables' findings are merged.
+queries go to every part; a shard's queries are split by the same measure, and the vectors go to every part of them. Each
+part reranks its candidates exactly, in double precision, and the tables' findings are merged.
 Identical vectors are one entry with its smallest ids, as no answer can need more of them. Queries that
-found too few are answered exactly, in blocks of all vectors.
+found too few, and all where there are at most 2 k distinct vectors, are answered exactly, in blocks of all vectors.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, signed, spread, table
+from .common import cut, discard, mix, signed, spread, table
 
 TABLES = 4
 SAMPLE, PROBES = 4096, 64
@@ -173,7 +175,7 @@ def rerank(k: int, everything: bool) -> Callable:
         bucket = bucket[order]
         x, q = vectors_of(col(index, "embedding"))[order], vectors_of(col(asked, "embedding"))
         rep = col(index, "rep").to_numpy()[order]
-        rough = x.astype(np.float32)
+        x, q = x.astype(np.float64), q.astype(np.float64)
         who, what, score = [], [], []
         wanted = None if everything else col(asked, "buckets")
         for i, query in enumerate(col(asked, "query_id").to_pylist()):
@@ -185,10 +187,11 @@ def rerank(k: int, everything: bool) -> Callable:
                 at = spread(lo, np.searchsorted(bucket, own, "right") - lo)
             if not len(at):
                 continue
-            near = rough[at] @ q[i].astype(np.float32)
-            if len(at) > 4 * k:  # single precision narrows, double precision decides
-                at = at[np.argpartition(-near, 4 * k)[: 4 * k]]
-            exact = x[at].astype(np.float64) @ q[i].astype(np.float64)
+            exact = np.einsum("ij,j->i", x[at], q[i])  # a row's sum doesn't hang on its place in the block
+            if len(at) > k:
+                least = np.partition(exact, len(at) - k)[len(at) - k]
+                keep = exact >= least  # ties stay, ids decide
+                at, exact = at[keep], exact[keep]
             best = np.lexsort((rep[at], -exact))[:k]
             who += [query] * len(best)
             what.append(at[best])
@@ -201,27 +204,30 @@ def rerank(k: int, everything: bool) -> Callable:
     return run
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "query_id long, rep long, ids array<long>, score double"
 
 
 def nearest(vectors: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of all other rows.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id and those
-    whose length isn't the most frequent one. Rows that share an id count once (with the smallest vector). Ties go to
-    the smaller id. Other columns aren't read; an empty table gives an empty result.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id.
+    Vectors of different lengths have no inner product: each length is searched by itself. Rows that share an id count once (with
+    the smallest vector). Ties go to the smaller id. Other columns aren't read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     x = F.col("embedding")
     clean = vectors.select("vec_id", "embedding").where(
         F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     )
-    sizes = clean.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], result)
-    dim = sizes["d"]
-    clean = cut(clean.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    clean = cut(clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    lengths = [r["d"] for r in clean.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    found = [nearest_of_length(clean.where(F.size("embedding") == d) if len(lengths) > 1 else clean, k, query) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
+
+
+def nearest_of_length(clean: DataFrame, k: int, query: str) -> DataFrame:
+    spark = clean.sparkSession
     same = Window.partitionBy("embedding").orderBy("vec_id")
     kept = clean.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
     reps = cut(kept.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("rep"), "ids", "embedding"), "representatives")
@@ -231,6 +237,7 @@ def nearest(vectors: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0") ->
     sample = vectors_of(reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()).astype(np.float64)
     asked = clean.where(query).select(F.col("vec_id").alias("query_id"), "embedding")
     groups = max(1, math.ceil(total / SHARD))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
     def merged(found: DataFrame) -> DataFrame:
         one = found.groupBy("query_id", "rep").agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
@@ -241,24 +248,27 @@ def nearest(vectors: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0") ->
     best = None
     if len(sample) > 2 * k:
         hashing = spark.sparkContext.broadcast(fitted(sample, total, facts["norm"] * (1 + 1e-9), k))
-        kind = vectors.schema["embedding"].dataType.simpleString()
+        kind = clean.schema["embedding"].dataType.simpleString()
         index = reps.mapInArrow(index_rows(hashing, groups), f"shard long, bucket long, rep long, ids array<long>, embedding {kind}")
         index = cut(index, "index")
+        visits = cut(asked.mapInArrow(query_rows(hashing, groups), f"shard long, query_id long, embedding {kind}, buckets array<long>"), "visits")
         parts = index.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("salts"))
-        visits = asked.mapInArrow(query_rows(hashing, groups), f"shard long, query_id long, embedding {kind}, buckets array<long>")
-        salted = index.join(parts, "shard").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts"))).drop("salts")
-        visits = visits.join(parts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-        found = salted.groupBy("shard", "salt").cogroup(visits.groupBy("shard", "salt")).applyInArrow(rerank(k + 1, False), FOUND)
+        parts = parts.join(visits.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("turns")), "shard")
+        salted = index.join(parts, "shard").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts"))).withColumn("turn", numbers(F.col("turns"))).drop("salts", "turns")
+        turned = visits.join(parts, "shard").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("salt", numbers(F.col("salts"))).drop("salts", "turns")
+        found = salted.groupBy("shard", "salt", "turn").cogroup(turned.groupBy("shard", "salt", "turn")).applyInArrow(rerank(k + 1, False), FOUND)
         best = cut(merged(found), "nearest")
+        discard(index, visits)
     need = min(k, rows - 1)
     missing = asked if best is None else asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= need), "query_id", "left_anti")
     if need > 0 and not missing.isEmpty():
-        blocks = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(groups)))
-        everywhere = missing.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        exact = merged(blocks.groupBy("block").cogroup(everywhere.groupBy("block")).applyInArrow(rerank(k + 1, True), FOUND))
+        turns = math.ceil(missing.count() / SHARD)
+        blocks = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(groups))).withColumn("turn", numbers(F.lit(turns).cast("long")))
+        everywhere = missing.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns))).withColumn("block", numbers(F.lit(groups).cast("long")))
+        exact = merged(blocks.groupBy("block", "turn").cogroup(everywhere.groupBy("block", "turn")).applyInArrow(rerank(k + 1, True), FOUND))
         best = exact if best is None else best.join(missing, "query_id", "left_anti").unionByName(exact)
     if best is None:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], RESULT)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -320,6 +320,43 @@ def test_nearest(spark):
     assert hits / 600 >= 0.9
 
 
+def test_nearest_of_nearly_equal_scores(spark):
+    """Single precision can't tell these scores apart."""
+    rows = [(i, [1.0, i * 1e-9]) for i in range(400)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, query="vec_id % 100 = 0")
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+    for q in (0, 100, 200, 300):
+        order = sorted((i for i in range(400) if i != q), key=lambda i: (-(1.0 + i * 1e-9 * q * 1e-9), i))[:5]
+        assert [found[q, k] for k in range(1, 6)] == order
+    rows = [(i, [1.0, 1.0 + i * 1e-9]) for i in range(400)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, query="vec_id % 100 = 0")
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+    assert [found[0, k] for k in range(1, 6)] == [399, 398, 397, 396, 395]
+
+
+def test_nearest_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.5, 0.0], "b"), (20, [1.0, 1.0], "c"), (40, [1.0, 2.0, 3.0], "d"), (3, [1.0, 0.0, 0.0], "e"), (None, [9.0, 9.0], "f"), (60, [2.0], "g"), (5, [1.0, 1.0], "h")]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(20, 1, 5, 2.0), (20, 2, 1, 0.5), (40, 1, 3, 1.0)]
+
+
+def test_recall_on_the_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in frame.collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    found = collections.defaultdict(set)
+    for r in ann.op4_multiprobe_search(spark, "/root/testdata/sf0.1").collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for q in ids[ids % 20 == 0].tolist():
+        s = x @ rows[q]
+        s[ids == q] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hits, total = hits + len(best & found[q]), total + len(best)
+    assert total == 2000 and hits / total >= 0.9
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
