@@ -3,13 +3,14 @@
 Entities are found by one pattern; a text is split at its matches and put together again with surrogates. A
 surrogate is a keyed function of the entity's type and value (SHA-256 of key, type, value and an attempt number):
 letters become letters of the same case, digits digits, separators stay; a card keeps its first digit and a valid
-check digit, an address its number of parts, a title its name's gender; names come from lists of the same script
-and gender, part by part, so a person has the same surname with and without a given name. The same value has the
-same surrogate everywhere, with nothing looked up.
+check digit, an account number its country and valid check digits, an address its number of parts, a title its name's gender; names are
+made of parts of the same script and gender, with as many hyphens as before, so a person has the same surname with and without a given
+name. The same value has the same surrogate everywhere, with nothing looked up; case is not part of a value.
 
 Distinct values must stay distinct: the distinct values of the corpus (summed before the shuffle) are checked for
-surrogates that coincide with each other or with a value of the corpus. The losers take the next attempt until
-none is left. Only these exceptions, a handful, are joined back to the documents that hold them.
+surrogates that coincide, in any case of letters, with each other or with a value of the corpus (given and family names of a script
+together). The losers take the next attempt, with longer names, until none is left. Only these exceptions are joined
+back to the documents that hold them.
 """
 
 from __future__ import annotations
@@ -19,24 +20,31 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-# Forms of address by gender, and names by script and gender.
+# Forms of address by gender, and the parts that names are made of, by script: first parts, middle parts,
+# and endings by gender (n: family names).
 MALE = "Mr Herr Monsieur Señor Don Sir г-н господин κύριος"
 FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Doña г-жа госпожа κυρία"
 NAMES = {
     "latin": {
-        "m": "Adam Bruno Carl David Emil Felix Georg Henri Ivan Jonas Karl Leon Marco Noah Oscar Paul",
-        "f": "Alma Berta Clara Diana Elena Flora Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula",
-        "n": "Arden Barlow Castel Delmar Ebner Falken Garner Halden Ibarra Jansen Keller Lorent Marten Navarro Olsen Perrin Quint Reuter Sander Tellez Ulmer Varga Weller Zander",
+        "first": "Al Bar Cor Dal El Fen Gar Hal Ist Jar Kel Lor Mar Nor Or Pel Quin Ros Sal Tor Ul Var Wel Zan",
+        "middle": "a e i o an el in or",
+        "m": "o us an er in ek ar on",
+        "f": "a ia ina ella ette isa ora ena",
+        "n": "ley mann sen berg ton ner ovic ard win stein feld mar ini ez ano eau",
     },
     "cyrillic": {
-        "m": "Антон Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев Максим Никита Олег Павел Роман Семён",
-        "f": "Алла Белла Вера Галина Дарья Ева Зоя Инна Кира Лидия Марина Нина Ольга Полина Раиса София",
-        "n": "Абрамов Белов Волков Громов Дубов Ершов Жуков Зимин Ильин Котов Ланской Мухин Носов Орлов Панин Рогов Седов Титов Уваров Фомин",
+        "first": "Ал Бор Вел Гар Дан Ел Зар Иль Кор Лев Мар Нор Ор Пав Рад Сев Тар Ул Фед Яр",
+        "middle": "а и о ан ев ин",
+        "m": "ий ан ор ем ей ил",
+        "f": "а ия ина ена ана ея",
+        "n": "ов ев ин анов ников ушин",
     },
     "greek": {
-        "m": "Αλέξης Βασίλης Γιάννης Δημήτρης Ηλίας Θάνος Κώστας Λευτέρης Μάριος Νίκος Πέτρος Σπύρος",
-        "f": "Άννα Βάσω Γεωργία Δέσποινα Ελένη Ζωή Θάλεια Κατερίνα Λένα Μαρία Νίκη Σοφία",
-        "n": "Αντωνίου Βασιλείου Γεωργίου Δήμου Ευθυμίου Ζέρβας Ιωάννου Κωστής Λάμπρου Μακρής Νικολάου Πέτρου",
+        "first": "Αλ Βασ Γερ Δαμ Ελ Ζαν Ηλ Θαν Κορ Λαμ Μαν Νικ Πετρ Σταμ Τασ Φιλ",
+        "middle": "α ι ο αν ελ",
+        "m": "ος ης ας ιος",
+        "f": "α η ω ία",
+        "n": "ίδης όπουλος άκης ίου ας ής",
     },
 }
 TITLES = "|".join(sorted((MALE + " " + FEMALE).split(), key=len, reverse=True))
@@ -100,7 +108,7 @@ def byte_at(digest: Column, i: Column) -> Column:
 
 def shaped(value: Column, digest: Column, kind: Column) -> Column:
     """Letter for letter, digit for digit; an address keeps its last label, a card its first digit."""
-    hexadecimal = value.rlike("^[0-9a-f]+$")
+    hexadecimal = value.rlike("^[0-9a-fA-F]+$")
     keep_from = F.when(kind == "email", F.length(value) - F.length(F.substring_index(value, ".", -1))).otherwise(F.length(value) + 1)
 
     def sign(c: Column, i: Column) -> Column:
@@ -108,7 +116,7 @@ def shaped(value: Column, digest: Column, kind: Column) -> Column:
         pick = lambda letters: F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
         return (
             F.when((i >= keep_from) | ((kind == "card") & (i == 0)) | ((kind == "iban") & (i < 2)), c)
-            .when(c.rlike("[0-9]"), pick("0123456789")).when(hexadecimal & c.rlike("[a-f]"), pick("abcdef"))
+            .when(c.rlike("[0-9]"), pick("0123456789")).when(hexadecimal & c.rlike("[a-f]"), pick("abcdef")).when(hexadecimal & c.rlike("[A-F]"), pick("ABCDEF"))
             .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
         )
 
@@ -122,9 +130,43 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + b)
 
 
-def pick_from(digest: Column, words: list[str]):
-    pool = F.array(*[F.lit(w) for w in words])
-    return lambda i: F.get(pool, byte_at(digest, i) % len(words))
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of a string of digits and letters, a letter as the number from 10 to 35."""
+    letters = F.split(F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", "")), "")
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(letters, F.lit(0), step)
+
+
+def account(value: Column, plain: Column) -> Column:
+    """A surrogate of an account number: country, check digits that are valid if the value's were, and the rest of ``plain``."""
+    turned = lambda x: F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4)))
+    country, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+    digits = F.lpad((98 - mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(mod97(turned(value)) == 1, F.concat(country, digits, rest)).otherwise(plain)
+
+
+def pool(words: str) -> Column:
+    return F.array(*[F.lit(w) for w in words.split()])
+
+
+def name_part(lists: dict[str, str], ending: str, digest: Column, at: Column, attempt: Column) -> Column:
+    """One made-up name: a first part, ``attempt`` middle parts and an ending, picked by the digest from place ``at`` on."""
+    pick = lambda words, i: F.get(pool(words), byte_at(digest, i) % len(words.split()))
+    middle = F.transform(F.sequence(F.lit(0), attempt), lambda k: F.when(k > 0, pick(lists["middle"], at + k + 1)).otherwise(""))
+    return F.concat(pick(lists["first"], at), F.array_join(middle, ""), pick(lists[ending], at + 1))
+
+
+def name_of(kind: Column, value: Column, digest: Column, attempt: Column) -> Column:
+    """A name of the kind's script and gender (null for other kinds), with as many hyphens as the value."""
+    places = F.sequence(F.lit(0), F.size(F.split(value, "-")) - 1)
+    out = F.lit(None).cast("string")
+    for script, lists in NAMES.items():
+        for ending in "mfn":
+            made = F.array_join(F.transform(places, lambda p: name_part(lists, ending, digest, p * 7, attempt)), "-")  # noqa: B023
+            if (script, ending) == ("cyrillic", "n"):
+                made = F.concat(made, F.when(value.rlike("[аяАЯ]$"), "а").otherwise(""))
+            out = F.when(kind == f"{ending}_{script}", made).otherwise(out)
+    return F.when((F.upper(value) == value) & value.rlike(r"^\p{Lu}[^.]"), F.upper(out)).otherwise(out)
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -138,29 +180,26 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         base = F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), F.lit("0"))
         valid = luhn(digits(value)) % 10 == 0
         card = F.when(valid, let(base, lambda b: F.concat(F.substr(b, F.lit(1), F.length(b) - 1), ((10 - luhn(digits(b)) % 10) % 10).cast("string")))).otherwise(plain)
-        name = F.lit(None).cast("string")
-        for script, lists in NAMES.items():
-            for part, words in lists.items():
-                length = F.floor(attempt / 3).cast("int") + (1 if part == "n" else 0)
-                many = F.transform(F.sequence(F.lit(0), length), pick_from(d, words.split()))
-                name = F.when(kind == f"{part}_{script}", F.array_join(many, "-")).otherwise(name)
-        name = F.when((F.upper(value) == value) & value.rlike(r"^\p{Lu}[^.]"), F.upper(name)).otherwise(name)
-        return F.when(kind == "ip", address).when(kind == "card", card).when(name.isNotNull(), name).otherwise(plain)
+        name = kind.rlike("^[mfn]_")
+        return F.when(kind == "ip", address).when(kind == "card", card).when(kind == "iban", let(plain, lambda p: account(value, p))).when(name, name_of(kind, value, d, attempt)).otherwise(plain)
 
     return let(digest, made)
 
 
 def exceptions(values: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """kind, value, attempt of the values whose first surrogate isn't theirs alone."""
+    """kind, value, attempt of the values (in lower case) whose first surrogate isn't theirs alone, in any case of letters."""
+    # names of one script are told apart whatever part they are
+    group = lambda kind: F.regexp_replace(kind, "^[mfn]_", "")
     pending = values.withColumn("attempt", F.lit(0))
     taken: DataFrame | None = None
     moved: DataFrame | None = None
     for attempt in range(most):
-        made = cut(pending.select("kind", "value", F.lit(attempt).alias("attempt"), surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key).alias("made")), "surrogates")
-        used = values.select("kind", F.col("value").alias("made"))
-        used = used if taken is None else used.unionByName(taken.select("kind", "made"))
-        first = made.withColumn("place", F.row_number().over(Window.partitionBy("kind", "made").orderBy("value"))).where("place = 1").drop("place")
-        won = first.join(used, ["kind", "made"], "left_anti")
+        emitted = F.lower(surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
+        made = cut(pending.select("kind", "value", F.lit(attempt).alias("attempt"), group(F.col("kind")).alias("group"), emitted.alias("made")), "surrogates")
+        used = values.select(group(F.col("kind")).alias("group"), F.col("value").alias("made"))
+        used = used if taken is None else used.unionByName(taken.select("group", "made"))
+        first = made.withColumn("place", F.row_number().over(Window.partitionBy("group", "made").orderBy("value", "kind"))).where("place = 1").drop("place")
+        won = first.join(used, ["group", "made"], "left_anti")
         lost = cut(made.join(won.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value"), "collisions")
         if attempt:
             moved = won if moved is None else moved.unionByName(won)
@@ -174,8 +213,8 @@ def exceptions(values: DataFrame, key: str, most: int = 64) -> DataFrame:
     return out if moved is None else moved.select("kind", "value", "attempt")
 
 
-def replace_pii(docs: DataFrame, key: str = "corpusloom") -> DataFrame:
-    """All columns of ``docs``, text with surrogates, and n_entities.
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
+    """All columns of ``docs``, text with surrogates, and n_entities. Who knows ``key`` can link surrogates to guessed values.
 
     A null text stays null and an empty one empty; texts without entities are unchanged, byte for byte. Repeated
     rows get equal results; texts of any length are searched whole; columns other than text pass through (a column
@@ -215,8 +254,13 @@ def replace_pii(docs: DataFrame, key: str = "corpusloom") -> DataFrame:
     return base.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.size("__found").cast("long").alias("n_entities"))
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's secret; for the invented data of the test tables a public one does."""
+    return spark.conf.get("spark.corpusloom.pii.key", None) or "key of the test tables"
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return replace_pii(table(spark, sf_dir, "documents"), key_of(spark)).select("doc_id", "text", "n_entities")
 
 
 QUERIES = {"op1_pii_surrogates": op1_pii_surrogates}
