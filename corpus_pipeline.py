@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import cut, table
 from corpusloom.llm.ngram_join import jaccard_components
 from corpusloom.llm.packing import TOKENIZER, best_fit_pack
-from corpusloom.llm.pii import replace_pii
+from corpusloom.llm.pii import key_of, replace_pii
 from corpusloom.llm.quality_rules import quality_rules
 from corpusloom.llm.suffix_dedup import remove_repeated_bytes
 
@@ -49,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return replace_pii(docs, key_of(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
