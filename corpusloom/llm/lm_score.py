@@ -7,7 +7,8 @@ before it: s(w | u1, u2) = (A u1 + B u2) . q_w + b_w with vectors of ``WIDTH`` n
 
 Training is numpy inside mapInArrow: every training document is used once, in one of a few rounds; tasks
 start a round from the same parameters and their results are averaged by tokens, in two steps, so the driver
-receives a bounded number of small arrays. Normalisation is exact: the sums over all units for all pairs of contexts
+receives a bounded number of small arrays. How documents are dealt to tasks (files and cores) is part of the training: another
+cluster gives a slightly different model of the same quality. Normalisation is exact: the sums over all units for all pairs of contexts
 are one matrix product, exp(A q) times exp(B q + b).
 
 Words beyond the ``HEAD`` most frequent (a bounded broadcast) find their counts in a join.
@@ -15,6 +16,7 @@ Words beyond the ``HEAD`` most frequent (a bounded broadcast) find their counts
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import zlib
@@ -221,7 +223,8 @@ class Normalised:
         return self.a[one, w].astype(np.float64) + self.b[two, w] - self.z[two, one]
 
 
-_tables: dict[int, Normalised] = {}
+#: The tables of the last model that this process scored with, by a digest of its bytes.
+_tables: dict[bytes, Normalised] = {}
 
 
 def score(model, lexicon) -> Callable:
@@ -229,10 +232,11 @@ def score(model, lexicon) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
-        if id(model.value) not in _tables:
+        name = hashlib.blake2b(model.value).digest()
+        if name not in _tables:
             _tables.clear()
-            _tables[id(model.value)] = Normalised(unpacked(model.value))
-        tables = _tables[id(model.value)]
+            _tables[name] = Normalised(unpacked(model.value))
+        tables = _tables[name]
         log_count = np.append(np.log10(lex.counts + 1.0), 0.0)
         log_bin = np.log10(lex.bins)
         key = TaskContext.get().partitionId() << 36
