@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
 from dataclasses import dataclass
 
+#: Optional word segmenters, the most wanted first.
+SEGMENTERS = ("underthesea", "pyvi")
+
 
 def require(ok: bool, message: str) -> None:
     if not ok:
@@ -33,7 +37,7 @@ class Bm25Config:
 
 @dataclass(frozen=True)
 class TokenizerConfig:
-    backend: str = "regex"
+    backend: str = "regex"  # regex, a word segmenter by its module's name, or auto: the first installed segmenter, else regex
     phrases: tuple[str, ...] | None = None  # None: the default list
     phrase_boost: int = 1
     lowercase: bool = True
@@ -41,7 +45,14 @@ class TokenizerConfig:
 
     def __post_init__(self):
         require(self.phrase_boost >= 0, "phrase_boost cannot be negative")
-        require(self.backend in ("auto", "regex"), "backend must be auto or regex: no word segmenter is installed")
+        require(self.backend in ("auto", "regex", *SEGMENTERS), f"backend must be one of auto, regex, {', '.join(SEGMENTERS)}")
+        require(self.backend not in SEGMENTERS or self.resolved == self.backend, f"{self.backend} is not installed")
+
+    @property
+    def resolved(self) -> str:
+        """The backend that is there for this one."""
+        tried = SEGMENTERS if self.backend == "auto" else (self.backend,)
+        return next((m for m in tried if m in SEGMENTERS and importlib.util.find_spec(m)), "regex")
 
 
 @dataclass(frozen=True)

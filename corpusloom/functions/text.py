@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import TokenizerConfig
 
-from .udf import nfc, repair_mojibake
+from .udf import nfc, repair_mojibake, segmented
 
 # Terms that are also indexed as one token.
 PHRASES = (
@@ -94,7 +94,7 @@ def tokens_of(normalised: Column, config: TokenizerConfig = TokenizerConfig()) -
     phrases = PHRASES if config.phrases is None else config.phrases
 
     def both(text: Column) -> Column:
-        words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)) if config.resolved == "regex" else segmented(config.resolved)(text)
         return F.concat(words, F.flatten(F.array_repeat(phrase_tokens(text, phrases), config.phrase_boost))) if config.phrase_boost else words
 
     return let(normalised, both)
@@ -228,6 +228,11 @@ def safe_int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+def safe_float(*cs: Column) -> Column:
+    """The first value that is a number, or null."""
+    return F.coalesce(*[F.nullif(c.cast("string").try_cast("double"), F.lit(float("nan"))) for c in cs])
+
+
 def safe_links(c: Column) -> Column:
     """Links given as JSON text; whatever isn't a list of objects is no link."""
     kind = "array<map<string,string>>"

@@ -110,3 +110,18 @@ def json_object_complete(text: str) -> bool:
 
 
 json_complete = arrow("boolean", lambda x: x is not None and json_object_complete(x))
+
+
+def segment(backend: str, text: str) -> list[str]:
+    """A segmenter's words; a word of several syllables is one token."""
+    if backend == "underthesea":
+        from underthesea import word_tokenize
+
+        return word_tokenize(text, format="text").split()
+    from pyvi import ViTokenizer
+
+    return ViTokenizer.tokenize(text).split()
+
+
+def segmented(backend: str) -> Callable[[Column], Column]:
+    return arrow("array<string>", lambda x: None if x is None else [w for w in segment(backend, x) if re.search(r"\w", w)])

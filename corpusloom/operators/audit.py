@@ -18,27 +18,27 @@ def points_by_chunk(points: DataFrame) -> DataFrame:
 
 
 def missing(local: DataFrame, remote: DataFrame) -> DataFrame:
-    return local.join(remote.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id")
+    return local.join(remote.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def extra(local: DataFrame, remote: DataFrame) -> DataFrame:
-    return remote.select("chunk_id").distinct().join(local.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id")
+    return remote.select("chunk_id").distinct().join(local.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def duplicates(remote: DataFrame) -> DataFrame:
     return points_by_chunk(remote).where("n_points > 1")
 
 
-def summary(rows: DataFrame, points: DataFrame, order: str) -> DataFrame:
-    """One row of counts."""
-    local, repeated = local_chunks(rows, order)
-    one = F.lit(1).alias("one")
-    parts = [
-        rows.agg(F.count("*").alias("local_rows")).select("*", one), local.agg(F.count("*").alias("local_ids")).select("*", one), repeated.agg(F.count("*").alias("local_repeated_ids")).select("*", one),
-        points.agg(F.count("*").alias("points"), F.count_if(F.coalesce("chunk_id", F.lit("")) == "").alias("points_without_id"), F.count_distinct(F.nullif("chunk_id", F.lit(""))).alias("point_ids")).select("*", one),
-        missing(local, points).agg(F.count("*").alias("missing")).select("*", one), extra(local, points.where("chunk_id <> ''")).agg(F.count("*").alias("extra")).select("*", one), duplicates(points).agg(F.count("*").alias("duplicate_groups")).select("*", one),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "one")
-    return out.drop("one")
+def summary(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """One row of counts, from one full outer join of what either side holds of each id."""
+    sound = (F.coalesce("chunk_id", F.lit("")) != "") & (F.coalesce(F.trim("text"), F.lit("")) != "")
+    ours = rows.select(F.when(sound, F.col("chunk_id")).alias("id")).groupBy("id").agg(F.count("*").alias("n_local"))
+    theirs = points.select(F.nullif("chunk_id", F.lit("")).alias("id")).groupBy("id").agg(F.count("*").alias("n_points"))
+    both = ours.join(theirs, "id", "full").select("id", F.coalesce("n_local", F.lit(0)).alias("n"), F.coalesce("n_points", F.lit(0)).alias("p"))
+    named = F.col("id").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return both.agg(
+        total("n").alias("local_rows"), F.count_if(named & (F.col("n") > 0)).alias("local_ids"), F.count_if(named & (F.col("n") > 1)).alias("local_repeated_ids"),
+        total("p").alias("points"), total(F.when(~named, F.col("p"))).alias("points_without_id"), F.count_if(named & (F.col("p") > 0)).alias("point_ids"),
+        F.count_if(named & (F.col("n") > 0) & (F.col("p") == 0)).alias("missing"), F.count_if(named & (F.col("n") == 0) & (F.col("p") > 0)).alias("extra"), F.count_if(named & (F.col("p") > 1)).alias("duplicate_groups"),
+    )

@@ -23,6 +23,7 @@ MULTI = (
     r"(?iuU)\bvề\s+[^?]{3,80}\s+và\s+[^?]{3,80}\?",
     r"(?iuU)\b(?:thuế|đất đai|kế toán|bảo hiểm|xử phạt|khắc phục)\b[^?]*\bvà\b",
 )
+FIELDS = ("relevant_docs", "relevant_articles")
 PROTECTED = ("doanh nghiệp nhỏ và vừa", "nhỏ và vừa", "vừa và nhỏ")
 
 
@@ -124,3 +125,9 @@ def postprocess(records: DataFrame, config: CitationConfig = CitationConfig()) -
     rows = records.withColumn("kept", kept)
     docs = F.concat(F.transform("kept", lambda a: F.substring_index(a, "|", 2)), F.col("relevant_docs"))
     return rows.withColumn("relevant_docs", T.first_unique(docs, lim["max_docs"])).withColumn("relevant_articles", F.col("kept")).drop("kept")
+
+
+def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
+    """field, before, after: how many citations records hold in all."""
+    count = lambda df, name: df.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias(c) for c in FIELDS]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias(name)) for c in FIELDS])).alias("x")).select("x.*")
+    return count(before, "before").join(count(after, "after"), "field")

@@ -35,6 +35,16 @@ def ranking(cases: DataFrame, cutoffs: Sequence[int] = (1, 3, 5, 10, 20)) -> Dat
     return ranking_by_case(cases, cutoffs).groupBy("cutoff").agg(F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"))
 
 
+def ranking_of_hits(cases: DataFrame, relevant_hits: DataFrame, cutoffs: Sequence[int] = (1, 3, 5, 10, 20)) -> DataFrame:
+    """The same means from joins: cases with the number of their relevant items (case_id, n_relevant), and the ranks at which
+    such items were found (case_id, rank). No list of a case's items is made."""
+    ks = F.explode(F.array(*[F.lit(k) for k in sorted({int(c) for c in cutoffs})])).alias("cutoff")
+    ranks = relevant_hits.groupBy("case_id").agg(F.collect_list("rank").alias("ranks"))  # at most the largest cutoff's number
+    rows = cases.join(ranks, "case_id", "left").select("n_relevant", F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"), ks)
+    near = F.filter("ranks", lambda r: r <= F.col("cutoff"))
+    return rows.groupBy("cutoff").agg(F.avg(F.size(near) / F.col("n_relevant")).alias("recall"), F.avg(F.coalesce(1.0 / F.array_min(near), F.lit(0.0))).alias("mrr"))
+
+
 def f2(p: Column, r: Column) -> Column:
     return F.when(4 * p + r > 0, 5 * p * r / (4 * p + r)).otherwise(0.0)
 

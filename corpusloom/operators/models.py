@@ -6,12 +6,14 @@ No neural model is installed here; the stand-ins are deterministic and say nothi
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ class Generator(Protocol):
 
 
 class HashingEmbedder:
-    """Signed hashing of words into a unit vector."""
+    """Signed hashing of words: whole numbers, so every product of two of these vectors is exact."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -44,10 +46,9 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, text in enumerate(texts):
             for w in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
                 out[i, (h >> 1) % self.dim] += 1 if h & 1 else -1
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n > 0, n, 1)
+        return out
 
 
 class OverlapReranker:
@@ -64,6 +65,18 @@ class ExtractiveGenerator:
         return [next((line for line in p.split("]\n", 1)[-1].splitlines() if line.strip()), "") for p in prompts]
 
 
+class TemplatePlanner:
+    """Plans by a template: what a planner's answers look like, for the query named in the prompt."""
+
+    def generate(self, prompts: Sequence[str]) -> list[str]:
+        return [self.answer(p, p.split("\n")[1]) for p in prompts]
+
+    def answer(self, prompt: str, query: str) -> str:
+        if prompt.startswith("EXPAND"):
+            return json.dumps({"semantic_variants": [{"text": f"quy định {query}", "kind": "semantic", "reason": "template"}], "subqueries": [], "lexical_terms": [query]}, ensure_ascii=False)
+        return json.dumps({"analysis": {"intent": "unknown", "query_type": "legal_concept", "entities": [], "temporal_scope": "current", "must_terms": []}}, ensure_ascii=False)
+
+
 def tokenizer_udf(make: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -116,6 +129,21 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], batch: int = 8)
     return prompts.select("id", "prompt").mapInPandas(run, f"id {prompts.schema['id'].dataType.simpleString()}, answer string")
 
 
+def respond(prompts: DataFrame, make: Callable[[], Generator], batch: int = 8, raw: str = "raw") -> DataFrame:
+    """All columns but prompt, and the model's answer as ``raw``, whatever it is (a missing one is empty)."""
+    kept = [f for f in prompts.schema.fields if f.name not in ("prompt", raw)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for part in parts:
+            asked = part.column(part.schema.get_field_index("prompt")).to_pylist()
+            got = [a for at in range(0, len(asked), batch) for a in [*model.generate(asked[at : at + batch]), *[""] * batch][: len(asked[at : at + batch])]]
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), pa.array(got, pa.string())], names=[*(f.name for f in kept), raw])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{raw} string"])
+    return prompts.mapInArrow(run, schema)
+
+
 def rerank_pair(question: Column, intent: Column, scope_queries: Column, title: Column, scopes: Column, text: Column) -> tuple[Column, Column]:
     """What a reranker reads of a query and of a candidate. scope_queries: map of scope to query."""
     known = F.filter(F.transform(scopes, lambda s: F.try_element_at(scope_queries, s)), lambda x: x.isNotNull())

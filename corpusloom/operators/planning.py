@@ -28,6 +28,9 @@ COMPANY_TYPES = (
 NUMBER = r"(?U)\b\d+(?:[./-]\w+)*"
 ARTICLE_REFERENCE = r"(?U)\bđiều\s+\d"
 QUERY_TYPES = ("exact_lookup", "legal_concept", "legal_situation", "ambiguous", "multi_issue")
+INTENTS = ("deadline", "penalty", "procedure", "definition", "obligation", "eligibility", "unknown")
+DOMAINS = ("enterprise", "labor", "tax", "social_insurance", "civil", "investment", "securities")
+TEMPORAL_SCOPES = ("current", "historical")
 WEIGHTS = {"original": 1.0, "semantic": 0.8, "scope": 0.7, "subquery": 0.75}
 MAX_VARIANTS, MAX_SUBQUERIES, MAX_TERMS = 3, 2, 12
 EVIDENCED = "struct<value:string,evidence:string>"
@@ -155,26 +158,43 @@ def draft(answers: DataFrame) -> DataFrame:
     a, q = F.col("p.analysis"), F.col("query_text")
     company, company_ok = optional_evidenced(a["company_type"], q)
     refs = {n: optional_evidenced(a[f"{n}_number"], q, True) for n in ("article", "clause", "document")}
-    none = F.array().cast("array<string>")
     rows = rows.select(
         "query_id", "query", "query_text", a["intent"].alias("intent"), a["query_type"].alias("query_type"), a["legal_domain"].alias("legal_domain"), a["temporal_scope"].alias("temporal_scope"),
         company.alias("company_type"), *[v.alias(f"{n}_number") for n, (v, _) in refs.items()], evidenced(F.coalesce(a["entities"], F.array().cast(f"array<{EVIDENCED}>")), q).alias("entities"),
         evidenced(F.coalesce(a["must_terms"], F.array().cast(f"array<{EVIDENCED}>")), q).alias("must_terms"),
         (company_ok & refs["article"][1] & refs["clause"][1] & refs["document"][1]).alias("evidence_ok"), a.isNotNull().alias("parsed"),
-        variants_of(F.coalesce(F.col("p.semantic_variants"), F.array().cast(f"array<{VARIANT}>")), a["query_type"]).alias("semantic"),
-        subqueries_of(F.coalesce(F.col("p.subqueries"), F.array().cast("array<struct<text:string,reason:string>>"))).alias("sub"), F.coalesce(F.col("p.lexical_terms"), none).alias("lexical_terms"),
+        *proposed(F.col("p"), a["query_type"]),
     )
     return rows.withColumn("analysis_problem", analysis_problem()).withColumn("expansion_problem", expansion_problem())
 
 
+def proposed(p: Column, query_type: Column) -> list[Column]:
+    """semantic, sub, lexical_terms of a parsed answer."""
+    semantic = variants_of(F.coalesce(p["semantic_variants"], F.array().cast(f"array<{VARIANT}>")), query_type)
+    sub = subqueries_of(F.coalesce(p["subqueries"], F.array().cast("array<struct<text:string,reason:string>>")))
+    return [semantic.alias("semantic"), sub.alias("sub"), F.coalesce(p["lexical_terms"], T.empty_strings()).alias("lexical_terms")]
+
+
+def with_expansion(drafts: DataFrame, raw: str = "raw") -> DataFrame:
+    """Drafts with the expansion of a further answer (column raw) in place of their own."""
+    p = F.from_json(T.json_object(F.col(raw)), PAYLOAD)
+    keep = [F.col(c) for c in drafts.columns if c not in (raw, "semantic", "sub", "lexical_terms", "expansion_problem")]
+    rows = drafts.withColumn("p", p).select(*keep, *proposed(F.col("p"), F.col("query_type")), F.col("p").isNotNull().alias("answered"))
+    return rows.withColumn("expansion_problem", F.when(~F.col("answered"), "no JSON object").otherwise(expansion_problem())).drop("answered")
+
+
 def has_reference() -> Column:
     return F.coalesce("article_number", "clause_number", "document_number").isNotNull()
 
 
 def analysis_problem() -> Column:
+    """The first rule that an analysis breaks, or null."""
+    within = lambda c, allowed: F.coalesce(F.col(c).isin(*allowed), F.lit(False))
     return (
-        F.when(~F.col("parsed"), "no JSON object").when(F.col("query_type").isNull() | ~F.col("query_type").isin(*QUERY_TYPES), "unknown query type")
-        .when(F.coalesce(T.strip(F.col("intent")), F.lit("")) == "", "no intent").when(F.col("entities").isNull() | F.col("must_terms").isNull() | ~F.col("evidence_ok"), "evidence is not in the query")
+        F.when(~F.col("parsed"), "no JSON object").when(~within("query_type", QUERY_TYPES), "unknown query type").when(~within("intent", INTENTS), "unknown intent")
+        .when(~within("temporal_scope", TEMPORAL_SCOPES), "unknown temporal scope").when(~F.coalesce("legal_domain", F.lit("unknown")).isin("unknown", *DOMAINS), "unknown legal domain")
+        .when(F.col("entities").isNull() | F.col("must_terms").isNull() | ~F.col("evidence_ok"), "evidence is not in the query")
+        .when(~F.coalesce("company_type", F.lit(COMPANY_TYPES[0][1])).isin(*[kind for _, kind in COMPANY_TYPES]), "unknown company type")
         .when((F.col("query_type") == "exact_lookup") & ~has_reference(), "exact lookup without a reference").when(~terms_sound(F.concat("entities", "must_terms")), "too broad a term")
     )
 

@@ -5,52 +5,32 @@ Integers leave as BIGINT, doubles rounded to six places, lists joined to strings
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import audit, bm25, chunking, citations, dense, fusion, metrics, models, planning, selection, submission
+from corpusloom.operators import audit, bm25, chunking, citations, dense, fusion, metrics, models, planning, ranking, selection, submission
 from corpusloom.plans import retrieval
+from corpusloom.plans.registry import QUERIES, SQL, Query, long, query, table
 from corpusloom.streaming import answers
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
-
+    from corpusloom.plans import catalog_functions, catalog_planning, catalog_retrieval, catalog_sources  # noqa: F401 (they register)
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(QUERIES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_topk(spark, sf_dir)
 
 
-def long(c: str):
-    return F.col(c).cast("long").alias(c)
-
-
 # ---------------------------------------------------------------- sparse search
 
 TOKENS = "regexp_extract_all(lower(text), '[0-9A-Za-zÀ-ỹ_]+')"
@@ -118,10 +98,11 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS squared, len(embedding)::BIGINT AS dim,
-round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first_unit FROM embeddings""")
+array_to_string(list_transform(embedding, lambda x: printf('%.5f', x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))), ' ') AS unit FROM embeddings""")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").withColumn("embedding", V.checked(F.col("embedding"), 64))
-    return v.select("vec_id", F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared"), F.size("embedding").cast("long").alias("dim"), F.round(F.element_at(V.l2_normalize(F.col("embedding")), 1), 6).alias("first_unit"))
+    unit = F.array_join(F.transform(V.l2_normalize(F.col("embedding")), lambda x: F.format_string("%.5f", x)), " ")
+    return v.select("vec_id", F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared"), F.size("embedding").cast("long").alias("dim"), unit.alias("unit"))
 
 
 # ---------------------------------------------------------------- measures
@@ -134,21 +115,21 @@ per AS (SELECT cutoff, rel.query_id, coalesce(sum(CASE WHEN hit AND rank <= cuto
 SELECT cutoff, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM per GROUP BY cutoff""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ranked = neighbours(spark, sf_dir, 20).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")).alias("retrieved"))
-    groups = v.groupBy("label").agg(F.collect_list(F.col("vec_id").cast("string")).alias("ids"))  # one list a class of the test set
-    cases = v.join(groups, "label").select(F.col("vec_id").alias("query_id"), F.array_remove("ids", F.col("vec_id").cast("string")).alias("relevant")).where(F.size("relevant") > 0)
-    rows = cases.join(ranked, "query_id", "left").withColumnRenamed("query_id", "case_id")
-    return metrics.ranking(rows).select(long("cutoff"), F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+    labels = lambda key: v.select(F.col("vec_id").alias(key), F.col("label").alias(f"{key}_label"))
+    found = neighbours(spark, sf_dir, 20).join(labels("query_id"), "query_id").join(labels("vec_id"), "vec_id").where("query_id_label = vec_id_label")
+    cases = v.join(v.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").where("n_relevant > 0").select(F.col("vec_id").alias("case_id"), "n_relevant")
+    out = metrics.ranking_of_hits(cases, found.select(F.col("query_id").alias("case_id"), "rank"))
+    return out.select(long("cutoff"), F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]+')) AS p, list_distinct(regexp_extract_all(lower(substr(text, 101, 200)), '[a-z]+')) AS g FROM documents),
+@query("""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS p, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS g FROM documents),
 m AS (SELECT len(p) = 0 AND len(g) = 0 AS neither, len(list_intersect(p, g))::DOUBLE AS h, len(p) AS n, len(g) AS m FROM s),
 pr AS (SELECT CASE WHEN neither THEN 1.0 WHEN n = 0 THEN 0.0 ELSE h / n END AS p, CASE WHEN neither THEN 1.0 WHEN m = 0 THEN 0.0 ELSE h / m END AS r FROM m)
 SELECT 'words' AS field, round(avg(p), 6) AS "precision", round(avg(r), 6) AS recall, round(avg(CASE WHEN 4 * p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0.0 END), 6) AS f2 FROM pr""")
 def set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda at: F.regexp_extract_all(F.lower(F.substring("text", at, 200)), F.lit("[a-z]+"), F.lit(0))
+    words = lambda pattern: F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
     docs = table(spark, sf_dir, "documents")
-    out = metrics.answer_sets(docs.select(F.col("doc_id").alias("id"), words(1).alias("words")), docs.select(F.col("doc_id").alias("id"), words(101).alias("words")), ["words"])
+    out = metrics.answer_sets(docs.select(F.col("doc_id").alias("id"), words("[a-z]+").alias("words")), docs.select(F.col("doc_id").alias("id"), words("[a-z]{4,}").alias("words")), ["words"])
     return out.select("field", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f2")])
 
 
@@ -160,8 +141,8 @@ UNION ALL SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY
 
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    ranked = lambda *by: docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(*by))).select("source", "doc_id", "rank")
-    return ranked(F.desc("n_chars"), "doc_id").withColumn("weight", F.lit(1.0)).unionByName(ranked(F.desc(F.col("n_chars") % 97), "doc_id").withColumn("weight", F.lit(0.7)))
+    ranked = lambda coarse, weight: ranking.numbered(docs, ("source",), -coarse, "doc_id").select("source", "doc_id", "rank", F.lit(weight).alias("weight"))
+    return ranked(F.col("n_chars"), 1.0).unionByName(ranked(F.col("n_chars") % 97, 0.7))
 
 
 @query(f"WITH {LISTS} SELECT source, doc_id, round(sum(weight / (60 + rank)), 6) AS rrf FROM l GROUP BY ALL")
@@ -189,7 +170,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY lang, content_id ORDER BY raw_ra
 r AS (SELECT lang, doc_id, raw_rank, row_number() OVER (PARTITION BY lang ORDER BY raw_rank) AS rank FROM f WHERE nth = 1)
 SELECT lang, doc_id, raw_rank, rank FROM r WHERE rank <= 100""")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = identified(spark, sf_dir).withColumn("raw_rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    raw = ranking.numbered(identified(spark, sf_dir), ("lang",), F.floor(F.col("doc_id") / 4096), "doc_id", name="raw_rank")
     return fusion.first_occurrences(raw, 100, ("lang",)).select("lang", "doc_id", long("raw_rank"), long("rank"))
 
 
@@ -214,31 +195,6 @@ def score_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.filter_score_margin(selection.filter_min_score(docs, 200), 5000, "lang").select("lang", "doc_id")
 
 
-@query()
-def scoped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pool = docs.withColumn("pool_pos", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).where("pool_pos <= 50")
-    rows = pool.select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("content_id"), F.col("source").alias("article_id"), F.col("n_chars").cast("double").alias("relevance"), F.lit(0.0).alias("rrf"), "pool_pos", F.array("source").alias("matched_scopes"), F.array(F.lit("src3"), F.lit("src5")).alias("required_scopes"))
-    return selection.select_scoped(rows, 5, 2, restrict=False, margin=1e9).select("query_id", "content_id", "article_id", "position")
-
-
-@query()
-def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embed = models.embedder_udf(lambda: models.HashingEmbedder(64))
-    chunks = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("article_id"), "text", embed(F.col("text")).alias("embedding"))
-    plans = planning.original_only(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    rerank = models.reranker_udf(models.OverlapReranker)
-    out = retrieval.hybrid(plans, chunks, bm25.build_index(chunks), embed, 10, rerank=rerank)
-    return out.select("query_id", "position", "chunk_id", "content_id", "relevance", "rrf")
-
-
-@query()
-def baseline_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embed = models.embedder_udf(lambda: models.HashingEmbedder(64))
-    vectors = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
-    return retrieval.baseline(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), vectors, embed, 64)
-
-
 # ---------------------------------------------------------------- text
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS words, length(text)::BIGINT AS chars, substr(sha1(source || '|' || lang || '|' || doc_id || '|'), 1, 20) AS id FROM documents")
@@ -258,8 +214,6 @@ def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-
-
 @query("SELECT l_orderkey::VARCHAR AS article_id, l_linenumber::VARCHAR AS clause_number, 'clause' AS chunk_type, l_linenumber || '. part ' || l_partkey || ' a) from ' || l_suppkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber || '. part ' || l_partkey || ' a) from ' || l_suppkey) AS ordinal FROM lineitem")
 def chunk_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("", F.col("l_linenumber").cast("string"), F.lit(". part "), F.col("l_partkey").cast("string"), F.lit(" a) from "), F.col("l_suppkey").cast("string"))
@@ -268,79 +222,16 @@ def chunk_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(articles).select("article_id", "clause_number", "chunk_type", "text", long("ordinal"))
 
 
-@query()
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
-    return chunking.chunk(docs).select("article_id", "chunk_id", "chunk_type", "ordinal", "start_char", "end_char", "char_len")
-
-
 @query("""SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS record FROM events""")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(T.json_object(F.col("props")), "struct<k:bigint>")["k"].alias("k"), T.canonical_json(user_id=F.col("user_id"), event_type=F.col("event_type")).alias("record"))
 
 
-@query()
-def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.uuid5(T.canonical_json(chunk_id=F.col("doc_id").cast("string"), source=F.col("source"))).alias("point_id"), T.uuid5(F.col("doc_id").cast("string")).alias("legacy_point_id"))
-
-
 @query("""SELECT item_id, text || CASE WHEN contains(lower(text), 'license') THEN '' ELSE ' license' END || CASE WHEN contains(lower(text), 'th') THEN '' ELSE ' th' END AS asked FROM benchmark""")
 def sparse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.sparse_query(F.col("text"), F.array(F.lit("license"), F.lit("th"))).alias("asked"))
 
 
-# ---------------------------------------------------------------- planning, citations: literal cases, as the tables hold none
-
-NOTES = [
-    ("a1", "(Điều 1 Luật số 32/2004/QH11 An ninh quốc gia ngày 03/12/2004)"), ("a2", "(Điều 2 Luật số 32/2004/QH11, có hiệu lực)"), ("a3", "(Điều 7a.2 Nghị định 15/2020/NĐ-CP về xử phạt của Chính phủ)"), ("a4", "no citation here"),
-]
-
-
-@query("SELECT * FROM (VALUES ('a1', '32/2004/QH11', 'Luật 32/2004/QH11 An ninh quốc gia', 'Điều 1'), ('a2', '32/2004/QH11', 'Luật 32/2004/QH11 An ninh quốc gia', 'Điều 2'), ('a3', '15/2020/NĐ-CP', 'Nghị định 15/2020/NĐ-CP về xử phạt', 'Điều 7a.2')) t(article_id, code, title, article)")
-def citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.resolve(spark.createDataFrame(NOTES, "article_id string, source_note_text string")).select("article_id", "code", "title", "article")
-
-
-QUESTIONS = [("q1", "Khoản 2 Điều 47 quy định gì?"), ("q2", "Hỗ trợ doanh nghiệp nhỏ và vừa ra sao?"), ("q3", "Thủ tục ra sao và phải nộp gì?")]
-
-
-@query("SELECT * FROM (VALUES ('q1', 'exact_lookup', 1::BIGINT, 1::BIGINT), ('q2', 'simple', 2, 2), ('q3', 'multi_issue', 3, 5)) t(query_id, profile, max_docs, max_articles)")
-def question_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(QUESTIONS, "query_id string, question string")
-    lim = citations.limits(F.col("question"))
-    return q.select("query_id", citations.profile(F.col("question")).alias("profile"), lim["max_docs"].cast("long").alias("max_docs"), lim["max_articles"].cast("long").alias("max_articles"))
-
-
-@query("SELECT * FROM (VALUES ('q1', '32/2004/QH11|Luật 32/2004/QH11 An ninh quốc gia', '32/2004/QH11|Luật 32/2004/QH11 An ninh quốc gia|Điều 2'), ('q2', '32/2004/QH11|Luật 32/2004/QH11 An ninh quốc gia', '32/2004/QH11|Luật 32/2004/QH11 An ninh quốc gia|Điều 2#32/2004/QH11|Luật 32/2004/QH11 An ninh quốc gia|Điều 1'), ('q3', '', '')) t(query_id, docs, articles)")
-def citation_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(QUESTIONS, "query_id string, question string")
-    hits = spark.createDataFrame([("q1", 1, 0.5, "a1"), ("q1", 2, 0.9, "a2"), ("q2", 1, 0.9, "a2"), ("q2", 2, 0.8, "a1"), ("q3", 1, 0.7, "zz")], "query_id string, rank int, score double, article_id string")
-    cited = citations.with_citations(hits, citation_resolution(spark, sf_dir))
-    out = citations.select(q, cited)
-    return out.select("query_id", F.array_join("relevant_docs", "#").alias("docs"), F.array_join("relevant_articles", "#").alias("articles"))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'công ty trách nhiệm hữu hạn theo Khoản 2 Điều 47'), (2, '123/2020/NĐ-CP và Điểm a'), (3, 'x')) t(id, normal)")
-def normalised_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "công ty  TNHH theo khoản2 điều47"), (2, "123 / 2020 / nđ - CP và điểm a"), (3, " x ")], "id long, q string")
-    return rows.select("id", T.query_text(F.col("q")).alias("normal"))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, true, true, true, 'joint_stock'), (2, false, true, true, NULL), (3, true, false, true, NULL), (4, true, false, false, 'limited_liability_one_member')) t(id, negation, numbers, article, company)")
-def expansion_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "không được góp vốn", "không được góp vốn công ty cổ phần"), (2, "không được góp", "được góp"), (3, "mức phạt", "mức phạt 30/2020"), (4, "vốn", "công ty trách nhiệm hữu hạn một thành viên theo điều 5")], "id long, o string, c string")
-    o, c = F.col("o"), F.col("c")
-    return rows.select("id", planning.keeps_negation(c, o).alias("negation"), planning.no_new_numbers(c, o).alias("numbers"), planning.no_new_article(c, F.lit(None)).alias("article"), planning.company_type(c).alias("company"))
-
-
-@query()
-def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = '```json\n{"analysis":{"intent":"định nghĩa","query_type":"legal_concept","entities":[],"temporal_scope":"current","must_terms":[]},"semantic_variants":[{"text":"khái niệm vốn điều lệ","kind":"semantic","reason":"r"}],"subqueries":[],"lexical_terms":["vốn điều lệ"]}\n```'
-    rows = spark.createDataFrame([(1, "vốn điều lệ là gì", good), (2, "vốn điều lệ là gì", "not json")], "query_id long, query string, raw string")
-    return planning.variants(planning.build(planning.draft(rows))).select("query_id", "variant", "text", "weight", "kind")
-
-
 # ---------------------------------------------------------------- records, audit, resuming
 
 @query("""SELECT (SELECT count(*) FROM documents) AS local_rows, (SELECT count(DISTINCT doc_id) FROM documents WHERE trim(text) <> '') AS local_ids, 0::BIGINT AS local_repeated_ids,
@@ -350,7 +241,7 @@ def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "doc_id")
     remote = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("point_id"))
-    return audit.summary(local, remote, "doc_id")
+    return audit.summary(local, remote)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -371,38 +262,11 @@ def unanswered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission.unanswered(asked, turns.where("role = 'assistant'").select("id").distinct())
 
 
-RECORD = "id bigint, question string, answer string, relevant_docs array<string>, relevant_articles array<string>"
-
-
-@query("SELECT * FROM (VALUES (2::BIGINT, 'question differs'), (3, 'no answer'), (4, 'relevant_docs: not 2 fields'), (5, 'relevant_articles: not an article'), (9, 'id is not asked')) t(id, problem)")
-def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, a = ["1/2020/L|Luật 1/2020/L"], ["1/2020/L|Luật 1/2020/L|Điều 4"]
-    rows = [(1, "q", "a", d, a), (2, "other", "a", d, a), (3, "q", " ", d, a), (4, "q", "a", ["1/2020/L"], a), (5, "q", "a", d, ["1/2020/L|Luật 1/2020/L|4"]), (9, "q", "a", d, a)]
-    asked = spark.createDataFrame([(i, "q") for i in range(1, 6)], "id bigint, question string")
-    return submission.record_problems(spark.createDataFrame(rows, RECORD), asked)
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'L1|T L1', 'L1|T L1|Điều 1'), (2, 'L1|T L1#L2|T L2', 'L1|T L1|Điều 1#L2|T L2|Điều 2')) t(id, docs, articles)")
-def citation_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ["L1|T L1|Điều 1", "bad", "L2|T L2|Điều 2", "L3|T L3|Điều 3"]
-    rows = [(1, "Điều 5 nói gì", "a", ["L1|T L1", "L9|T L9"], e), (2, "vốn là gì", "a", ["L3|T L3"], e)]
-    out = citations.postprocess(spark.createDataFrame(rows, RECORD))
-    return out.select("id", F.array_join("relevant_docs", "#").alias("docs"), F.array_join("relevant_articles", "#").alias("articles"))
-
-
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
 def rows_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
-def rendered_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = bm25_topk(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    items = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.struct(x["text"].alias("text"), F.lit(None).cast("string").alias("heading"))).alias("items"))
-    text = submission.render_context(F.col("items"))
-    return items.select("query_id", F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("digest"))
-
-
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = answers.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))

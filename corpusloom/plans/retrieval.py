@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.config import RetrievalConfig, TokenizerConfig, require
+from corpusloom.config import RetrievalConfig, require
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import bm25, dense, fusion, models, planning, selection
+from corpusloom.sources.scratch import cut
 
 
 def baseline(queries: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], dim: int, k: int = 10) -> DataFrame:
@@ -21,7 +22,7 @@ def baseline(queries: DataFrame, vectors: DataFrame, embed: Callable[[Column], C
 
 
 def hybrid(plans: DataFrame, chunks: DataFrame, index: bm25.Bm25Index | None, embed: Callable[[Column], Column] | None, k: int = 10, config: RetrievalConfig = RetrievalConfig(),
-           tokenizer: TokenizerConfig = TokenizerConfig(), rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+           rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """query_id, position, chunk_id, content_id, relevance, rrf, article_id, text, matched_scopes, chunk_ids.
 
     plans: as planning.build gives them. chunks: doc_id (long), chunk_id, article_id, text, and embedding where dense
@@ -37,11 +38,12 @@ def hybrid(plans: DataFrame, chunks: DataFrame, index: bm25.Bm25Index | None, em
         lists.append(found.select(F.col("query_id").alias("variant_id"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("raw_rank"), F.lit(0).alias("modality")))
     if index is not None:
         asked = variants.select(F.col("variant_id").alias("query_id"), T.sparse_query(F.col("text"), F.col("lexical_terms")).alias("text"))
-        found = bm25.search(index, asked, config.raw_k, tokenizer)
+        found = bm25.search(index, asked, config.raw_k)
         lists.append(found.select(F.col("query_id").alias("variant_id"), "doc_id", F.col("rank").alias("raw_rank"), F.lit(1).alias("modality")))
-    hits = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
-    identity = chunks.select("doc_id", "chunk_id", "article_id", T.content_id(F.col("article_id"), F.col("text")).alias("content_id"))
-    hits = hits.join(identity, "doc_id").join(keys, "variant_id")
+    hits = cut(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]), "hits")  # at most raw_k rows a list
+    found = chunks.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")  # only what was found is identified
+    identity = found.select("doc_id", "chunk_id", "article_id", T.content_id(F.col("article_id"), F.col("text")).alias("content_id"))
+    hits = cut(hits.join(identity, "doc_id").join(keys, "variant_id"), "identified")
 
     unique = fusion.first_occurrences(hits, config.per_query_top_k)
     used = fusion.contributing(hits, unique, config.per_query_top_k)

@@ -38,9 +38,9 @@ def saved(spark: SparkSession, out: str, schema: str) -> DataFrame:
         raise
 
 
-def generate(spark: SparkSession, questions: DataFrame, out: str, schema: str, answer: Callable[[DataFrame], DataFrame], checkpoint_every: int = 100) -> DataFrame:
+def generate(spark: SparkSession, questions: DataFrame, out: str, schema: str, answer: Callable[[DataFrame], DataFrame], checkpoint_every: int = 100, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """Answer what isn't saved yet in slices of about ``checkpoint_every`` questions, each saved when it is done, then
-    check and return all records in the questions' order."""
+    check and return all records in the questions' order. report: how many of how many are done, after each slice."""
     before = saved(spark, out, schema)
     submission.validate(before, questions, partial=True) if not before.isEmpty() else None
     todo = submission.unanswered(questions, before)
@@ -50,6 +50,8 @@ def generate(spark: SparkSession, questions: DataFrame, out: str, schema: str, a
     for k in range(slices if n else 0):
         part = todo.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
         answer(part).write.mode("overwrite").parquet(f"{out}/batch={start + k}")
+        if report:
+            report(saved(spark, out, schema).count(), questions.count())
     records = saved(spark, out, schema)
     submission.validate(records, questions)
     return records.join(questions.select("id", "pos"), "id").orderBy("pos").drop("pos")

@@ -111,7 +111,7 @@ def test_citation_quotas(spark):
 
 
 def answer(query_type="legal_concept", variants=(), subs=(), terms=(), **analysis):
-    base = {"intent": "i", "query_type": query_type, "legal_domain": None, "entities": [], "company_type": None, "article_number": None, "clause_number": None, "document_number": None, "temporal_scope": "current", "must_terms": []}
+    base = {"intent": "definition", "query_type": query_type, "legal_domain": None, "entities": [], "company_type": None, "article_number": None, "clause_number": None, "document_number": None, "temporal_scope": "current", "must_terms": []}
     return json.dumps({"analysis": base | analysis, "semantic_variants": [{"text": t, "kind": k, "reason": "r"} for t, k in variants], "subqueries": [{"text": t, "reason": "r"} for t in subs], "lexical_terms": list(terms)}, ensure_ascii=False)
 
 
