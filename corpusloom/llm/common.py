@@ -7,9 +7,6 @@ windows with prefix sums.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import cut, discard  # noqa: F401 (the operators take them from here)
+
 #: Bytes of text that one vectorised step looks at; a longer single document is a step of its own.
 STEP_BYTES = 2 << 20
 
@@ -35,38 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none and runs in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not hasattr(shared_folder, "own"):
-        shared_folder.own = tempfile.mkdtemp(prefix="corpusloom-")
-    return f"file://{shared_folder.own}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later jobs start from the files, so a lost
-    executor costs no recomputation. A collection on the driver then lets Spark's cleaner delete the shuffle files that
-    only led to the table."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing reads any more."""
-    for df in tables:
-        session = df.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows of a table of a few numbers each (at most about 12 MB) that may be broadcast.
 BROADCAST_ROWS = 250_000
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, cut, discard, most_frequent, segments, signed, spread, steps, window_min, word_hashes, words
+from .common import FIRST, SECOND, cut, discard, mix, most_frequent, segments, signed, spread, steps, window_min, word_hashes, words
 
 #: Bytes of content that an index is built over at a time; one anchor's distinct segments are never parted.
 SHARD_BYTES = 1 << 20
@@ -151,13 +151,19 @@ def count_anchors(kind: Kind, frequent) -> Callable:
     return run
 
 
-def list_segments(kind: Kind, frequent) -> Callable:
+def list_segments(kind: Kind, frequent, hot) -> Callable:
+    """Segments with a salt: of a hot anchor they go to one of ``SALTS`` parts by document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, data, offsets in each_step(batch):
                 doc, anchor, content, first, count = segments_of(kind, data, offsets, frequent.value)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, ids[doc], first, count.astype(np.int32))], names=["anchor", "content", "doc_id", "first", "count"])
+                    at = np.minimum(np.searchsorted(hot.value, anchor), max(len(hot.value) - 1, 0))
+                    salted = hot.value[at] == anchor if len(hot.value) else np.zeros(len(anchor), bool)
+                    salt = np.where(salted, (mix(ids[doc].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0).astype(np.int32)
+                    columns = (anchor, content, ids[doc], first, count.astype(np.int32), salt)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "content", "doc_id", "first", "count", "salt"])
 
     return run
 
@@ -306,10 +312,10 @@ def removed_ranges(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
     counted = docs.mapInArrow(count_anchors(kind, frequent), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     repeated = cut(counted.where("n > 1"), "anchors")
     most = max(LEAST_HOT, (repeated.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT)
-    hot = F.broadcast(repeated.where(F.col("n") > most).select("anchor", F.lit(True).alias("hot")))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = lambda on: F.explode(F.sequence(F.lit(0), F.when(on, SALTS - 1).otherwise(0)))
-    found = docs.mapInArrow(list_segments(kind, frequent), "anchor long, content long, doc_id long, first long, count int").join(hot, "anchor", "left").withColumn("salt", salt).drop("hot")
+    hot = repeated.where(F.col("n") > most).select("anchor").toArrow().column(0).to_numpy()  # fewer than HOT numbers
+    hot = spark.sparkContext.broadcast(np.sort(hot))
+    found = docs.mapInArrow(list_segments(kind, frequent, hot), "anchor long, content long, doc_id long, first long, count int, salt int")
     kept = repeated.select("anchor", (F.col("n") > most).alias("hot"), salts(F.col("n") > most).alias("salt"))
     members = cut(found.join(kept, ["anchor", "salt"]), "segments")
     distinct = members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "count")).alias("at"), F.max("hot").alias("hot"))
