@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,7 +21,7 @@ def ingest(a) -> None:
     from corpusloom.sources import readers
 
     spark = session()
-    print(corpus.ingest(spark, readers.articles(spark, a.articles, a.format, a.limit), a.out))
+    print(corpus.ingest(spark, readers.articles(spark, a.articles, a.format, a.limit), a.out, fmt=a.out_format))
 
 
 def build_index(a) -> None:
@@ -52,52 +53,84 @@ def audit(a) -> None:
     corpus.audit_reports(spark.read.parquet(a.chunks), Collection(spark, a.collection, a.dim).read(), a.out).show()
 
 
+def engine_of(a, spark: SparkSession):
+    """What the options name: stand-in models, an index, passages with their vectors."""
+    from corpusloom.operators import bm25, models
+    from corpusloom.plans.answering import Engine
+
+    baseline = a.mode == "baseline"
+    embed = None if a.disable_dense else models.embedder_udf(lambda: models.HashingEmbedder(a.dim))
+    chunks = spark.read.parquet(a.chunks).withColumn("doc_id", F.xxhash64("article_id", "ordinal"))
+    chunks = chunks if embed is None else chunks.withColumn("embedding", embed("text"))
+    index = None if baseline or a.disable_bm25 or not a.index else bm25.load_index(spark, a.index)
+    rerank = None if baseline or a.disable_reranker else models.reranker_udf(models.OverlapReranker)
+    config = RetrievalConfig(
+        a.bm25_weight, a.per_query_top_k, a.oversample_factor, a.candidate_pool_size, a.scope_candidates_per_branch, a.max_chunks_per_article, a.ambiguous_max_chunks_per_article, a.scope_relevance_margin
+    )
+    return Engine(chunks, index, embed, rerank, None if baseline else models.TemplatePlanner, config)
+
+
 def plan(a) -> None:
-    from corpusloom.operators import planning
+    """One query's plan: by the planner, by its answer given as --raw, or the query alone."""
+    from corpusloom.operators import models, planning
+    from corpusloom.plans import planner
 
     rows = session().createDataFrame([(0, a.query, a.raw)], "query_id long, query string, raw string")
-    plans = planning.build(planning.draft(rows)) if a.raw else planning.original_only(rows)
+    if a.raw:
+        plans = planning.build(planning.draft(rows))
+    else:
+        plans = planning.original_only(rows) if a.mode == "baseline" else planner.plan(rows.drop("raw"), models.TemplatePlanner)
     print("\n".join(plans.toJSON().take(1)))
 
 
 def retrieve(a) -> None:
-    from corpusloom.operators import bm25, models, planning
+    """Plan a query and search for it: one JSON object with the plan and its hits."""
     from corpusloom.plans import retrieval
+    from corpusloom.sources.scratch import cut
 
     spark = session()
-    embed = None if a.disable_dense else models.embedder_udf(lambda: models.HashingEmbedder(a.dim))
-    chunks = spark.read.parquet(a.chunks).withColumn("doc_id", F.xxhash64("article_id", "ordinal"))
-    chunks = chunks if embed is None else chunks.withColumn("embedding", embed("text"))
-    plans = planning.original_only(spark.createDataFrame([(0, a.query)], "query_id long, query string"))
-    config = RetrievalConfig(a.bm25_weight, a.per_query_top_k, a.oversample_factor, a.candidate_pool_size)
-    rerank = None if a.disable_reranker else models.reranker_udf(models.OverlapReranker)
-    index = None if a.disable_bm25 else bm25.load_index(spark, a.index)
-    retrieval.hybrid(plans, chunks, index, embed, a.top_k, config, rerank=rerank).orderBy("position").show(truncate=80)
+    engine = engine_of(a, spark)
+    plans = cut(engine.plans(spark.createDataFrame([(0, a.query)], "query_id long, query string")), "plan")
+    hits = retrieval.hybrid(plans, engine.chunks, engine.index, engine.embed, a.top_k, engine.config, rerank=engine.rerank)
+    found = [json.loads(x) for x in hits.orderBy("position").toJSON().collect()]  # at most top_k
+    print(json.dumps({"query_plan": json.loads(plans.toJSON().first()), "hits": found}, ensure_ascii=False, indent=2))
+
+
+def cutoffs_of(text: str) -> list[int]:
+    """A comma-separated list of positive numbers, in order and without repeats."""
+    try:
+        cutoffs = sorted({int(x) for x in text.split(",") if x.strip()})
+    except ValueError:
+        cutoffs = []
+    if not cutoffs or cutoffs[0] < 1:
+        raise SystemExit("--cutoffs takes positive numbers, separated by commas")
+    return cutoffs
 
 
 def evaluate_retrieval(a) -> None:
+    """Retrieve for every case of a test set and measure."""
     from corpusloom.operators import metrics
     from corpusloom.sources import readers, writers
 
-    spark = session()
-    cutoffs = [int(x) for x in a.cutoffs.split(",")]
-    print(writers.metrics_table(metrics.ranking(readers.case_hits(readers.test_cases(spark, a.cases), spark.read.parquet(a.hits)), cutoffs).orderBy("cutoff")))
+    spark, cutoffs = session(), cutoffs_of(a.cutoffs)
+    cases = readers.test_cases(spark, a.cases)
+    hits = engine_of(a, spark).hits(cases.select(F.col("case_id").alias("query_id"), "query"), cutoffs[-1])
+    found = readers.case_hits(cases, hits.select(F.col("query_id").alias("case_id"), F.col("position").alias("rank"), "chunk_id", "article_id"))
+    print(writers.metrics_table(metrics.ranking(found, cutoffs).orderBy("cutoff")))
 
 
 def generate(a) -> None:
-    from corpusloom.operators import models, submission
+    """Answer all questions that have no saved answer, in slices, then check and deliver."""
+    from corpusloom.operators import citations, models
+    from corpusloom.plans import answering
     from corpusloom.sources import readers, writers
+    from corpusloom.sources.scratch import cut
     from corpusloom.streaming import answers
 
     spark = session()
-    contexts = spark.read.parquet(a.contexts)  # id, items, relevant_docs, relevant_articles
-
-    def answer(part):
-        rows = part.join(contexts, "id")
-        prompts = rows.select("id", submission.answer_prompt(F.col("question"), submission.render_context(F.col("items"))).alias("prompt"))
-        return models.generate(prompts, models.ExtractiveGenerator, a.batch).join(rows, "id").select("id", "question", "answer", "relevant_docs", "relevant_articles")
-
-    records = answers.generate(spark, readers.questions(spark, a.questions), a.work, readers.RECORD, answer, a.checkpoint_interval)
+    cited = cut(citations.resolve(spark.read.parquet(a.articles)), "citations")
+    run = answering.answer(engine_of(a, spark), cited, models.ExtractiveGenerator, a.top_k, a.batch, CitationConfig(tuple(a.exact), tuple(a.simple), tuple(a.multi)))
+    records = answers.generate(spark, readers.questions(spark, a.questions), a.work, readers.RECORD, run, a.checkpoint_interval, lambda done, of: print(f"{done} of {of}"))
     print(writers.submission(records, a.out))
 
 
@@ -106,7 +139,11 @@ def postprocess(a) -> None:
     from corpusloom.sources import readers, writers
 
     config = CitationConfig(tuple(a.exact), tuple(a.simple), tuple(a.multi))
-    print(writers.submission(citations.postprocess(readers.records(session(), a.records), config), a.out))
+    records = readers.records(session(), a.records)
+    filtered = citations.postprocess(records, config)
+    print(writers.submission(filtered, a.out))
+    for r in citations.before_after(records, filtered).collect():
+        print(f"{r['field']}: {r['before']} -> {r['after']}")
 
 
 def validate(a) -> None:
@@ -129,16 +166,21 @@ def score(a) -> None:
     print("\n".join(out.toJSON().collect()) if a.json else writers.metrics_table(out))
 
 
+QUOTAS: list = [("--exact", [1, 1]), ("--simple", [2, 2]), ("--multi", [3, 5])]
+SEARCH: list = [
+    ("chunks",), ("--index", str), ("--mode", "auto"), ("--dim", 64), ("--per-query-top-k", 20), ("--bm25-weight", 0.7), ("--oversample-factor", 5), ("--candidate-pool-size", 50), ("--scope-candidates-per-branch", 5),
+    ("--max-chunks-per-article", 2), ("--ambiguous-max-chunks-per-article", 1), ("--scope-relevance-margin", 0.15), ("--disable-bm25", False), ("--disable-dense", False), ("--disable-reranker", False),
+]
 OPTIONS: dict = {
-    ingest: [("articles",), ("out",), ("--format", "parquet"), ("--limit", int)],
+    ingest: [("articles",), ("out",), ("--format", "parquet"), ("--out-format", "parquet"), ("--limit", int)],
     build_index: [("chunks",), ("out",), ("--limit", int), ("--k1", 1.5), ("--b", 0.75), ("--phrase-file", str), ("--phrase-boost", 1), ("--no-repair-mojibake", False)],
     load_vectors: [("shards",), ("collection",), ("--dim", 1024), ("--start-file", int), ("--recreate", False)],
     audit: [("chunks",), ("collection",), ("out",), ("--dim", 1024)],
-    plan: [("query",), ("--raw", str)],
-    retrieve: [("query",), ("chunks",), ("--index", str), ("--top-k", 10), ("--dim", 64), ("--per-query-top-k", 20), ("--bm25-weight", 0.7), ("--oversample-factor", 5), ("--candidate-pool-size", 50), ("--disable-bm25", False), ("--disable-dense", False), ("--disable-reranker", False)],
-    evaluate_retrieval: [("cases",), ("hits",), ("--cutoffs", "1,3,5,10,20")],
-    generate: [("questions",), ("contexts",), ("work",), ("out",), ("--batch", 8), ("--checkpoint-interval", 100)],
-    postprocess: [("records",), ("out",), ("--exact", [1, 1]), ("--simple", [2, 2]), ("--multi", [3, 5])],
+    plan: [("query",), ("--raw", str), ("--mode", "auto")],
+    retrieve: [("query",), *SEARCH, ("--top-k", 10)],
+    evaluate_retrieval: [("cases",), *SEARCH, ("--cutoffs", "1,3,5,10,20")],
+    generate: [("questions",), ("articles",), ("work",), ("out",), *SEARCH, ("--top-k", 8), ("--batch", 8), ("--checkpoint-interval", 100), *QUOTAS],
+    postprocess: [("records",), ("out",), *QUOTAS],
     validate: [("records",), ("questions",), ("--zip", str)],
     score: [("records",), ("gold",), ("--json", False)],
 }

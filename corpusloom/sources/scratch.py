@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -25,13 +26,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs: it does so when the driver collects their plans as
+    garbage, which events that wait to be logged still hold, and which a quiet driver does not do by itself."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later jobs start from the files, so a lost
-    executor costs no recomputation. A collection on the driver then lets Spark's cleaner delete the shuffle files that
-    only led to the table."""
+    executor costs no recomputation. The shuffle files that only led to the table go."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -48,6 +56,8 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         fs, path = file_system(df.sparkSession, df.cut_path)
         fs.delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:

@@ -201,3 +201,86 @@ def test_json_stop_rule():
 def test_command_line():
     a = cli.parser().parse_args(["postprocess", "in.json", "out", "--multi", "2", "4"])
     assert a.multi == [2, 4] and a.run is cli.postprocess
+
+
+def test_commands_from_corpus_to_answers(spark, tmp_path, capsys):
+    """Every command on a small corpus, each on what the one before has left."""
+    notes = [(f"Điều {i}", f"(Điều {i} Luật số 3{i}/2004/QH11 Tên luật ngày 03/12/2004)", f"1. nội dung số{i} về vốn\n2. thuế đất số{i}") for i in range(1, 7)]
+    spark.createDataFrame(notes, "article_title string, source_note_text string, text string").write.parquet(str(tmp_path / "raw"))
+    run = lambda *args: (cli.main([str(a) for a in args]), capsys.readouterr().out)[1]
+    assert "'chunks': 12" in run("ingest", tmp_path / "raw", tmp_path / "corpus")
+    run("build-index", tmp_path / "corpus/chunks", tmp_path / "index")
+    found = json.loads(run("retrieve", "nội dung số3", tmp_path / "corpus/chunks", "--index", tmp_path / "index", "--top-k", 2))
+    assert [q["kind"] for q in found["query_plan"]["semantic_queries"]] == ["original", "semantic"] and "số3" in found["hits"][0]["text"]
+    alone = json.loads(run("retrieve", "nội dung số3", tmp_path / "corpus/chunks", "--mode", "baseline", "--top-k", 1))
+    assert len(alone["query_plan"]["semantic_queries"]) == 1 and len(alone["hits"]) == 1
+    articles = spark.read.parquet(str(tmp_path / "corpus/articles"))
+    of = {r["article_title"]: r["article_id"] for r in articles.collect()}
+    (tmp_path / "cases.jsonl").write_text("\n".join(json.dumps({"query": f"nội dung số{i}", "relevant_article_ids": [of[f"Điều {i}"]]}) for i in (2, 5)))
+    assert run("evaluate-retrieval", tmp_path / "cases.jsonl", tmp_path / "corpus/chunks", "--index", tmp_path / "index", "--cutoffs", "5,1,5").split()[3:5] == ["1", "1.0000"]
+    with pytest.raises(SystemExit):
+        cli.cutoffs_of("1,x")
+    asked = [{"id": i, "question": f"nội dung số{i} là gì"} for i in (4, 2)]
+    (tmp_path / "asked.json").write_text(json.dumps(asked, ensure_ascii=False))
+    said = run("generate", tmp_path / "asked.json", tmp_path / "corpus/articles", tmp_path / "work", tmp_path / "out", tmp_path / "corpus/chunks", "--index", tmp_path / "index")
+    assert "2 of 2" in said
+    records = json.loads((tmp_path / "out/results.json").read_text())
+    assert [r["id"] for r in records] == [2, 4] and records[0]["answer"] and records[0]["relevant_articles"][0].startswith("32/2004/QH11|Luật 32/2004/QH11 Tên luật|Điều 2")
+    assert "relevant_articles: " in run("postprocess", tmp_path / "out/results.json", tmp_path / "filtered", "--simple", 1, 1)
+    assert run("validate", tmp_path / "filtered/results.json", tmp_path / "asked.json").strip() == "valid"
+    assert "f2" in run("score", tmp_path / "filtered/results.json", tmp_path / "out/results.json")
+
+
+def test_index_keeps_its_settings(spark, tmp_path):
+    from corpusloom.config import TokenizerConfig
+
+    docs = spark.createDataFrame([(1, "Vốn Điều Lệ"), (2, "vốn")], "doc_id long, text string")
+    built = bm25.build_index(docs, tokenizer=TokenizerConfig(phrases=("vốn điều lệ",), phrase_boost=2, lowercase=True), path=str(tmp_path / "i"))
+    loaded = bm25.load_index(spark, str(tmp_path / "i"))
+    assert loaded.tokenizer == built.tokenizer and loaded.tokenizer.phrases == ("vốn điều lệ",)
+    found = bm25.search(loaded, spark.createDataFrame([(7, "vốn điều lệ")], "query_id long, text string"), 5).collect()
+    assert [r["doc_id"] for r in found] == [1, 2]
+    assert "vốn_điều_lệ" in {r["term"] for r in bm25.query_terms(spark.createDataFrame([(7, "vốn điều lệ")], "query_id long, text string"), loaded.tokenizer).collect()}
+
+
+def test_plans_scan_no_text_twice(spark, tmp_path):
+    """What a search reads is the index, not the documents again."""
+    docs = spark.createDataFrame([(1, "vốn điều lệ"), (2, "vốn")], "doc_id long, text string")
+    index = bm25.build_index(docs, path=str(tmp_path / "i"))
+    found = bm25.search(index, spark.createDataFrame([(7, "vốn")], "query_id long, text string"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/postings]") == 1 and plan.count("ArrowEvalPython") <= 2
+
+
+def test_planner_repairs_once(spark):
+    from corpusloom.plans import planner
+    from corpusloom.plans.catalog_planning import FaultyPlanner
+
+    rows = spark.createDataFrame([(i, f"vốn số {i}") for i in range(8)], "query_id long, query string")
+    got = {r["query_id"]: r for r in planner.plan(rows, FaultyPlanner, 3).collect()}
+    assert {i for i, r in got.items() if r["warning"]} == {3, 6, 7} and {i for i, r in got.items() if len(r["semantic_queries"]) == 2} == {0, 1, 2, 4, 5}
+
+
+def test_collection_versions(spark, tmp_path):
+    store = writers.Collection(spark, str(tmp_path / "c"), 2)
+    store.ensure()
+    kind = "point_id string, chunk_id string, embedding array<float>"
+    put = lambda *rows: store.upsert(spark.createDataFrame(list(rows), kind))
+    assert put(("a", "1", [1.0, 0.0]), ("b", "2", [1.0, 0.0])) == 2 and put(("a", "3", [0.0, 1.0])) == 1
+    assert {(r["point_id"], r["chunk_id"]) for r in store.read().collect()} == {("a", "3"), ("b", "2")}
+    store.create_payload_indexes("chunk_id")
+    store.create_payload_indexes("chunk_id")
+    assert store.count() == 2 and store.payload_indexes() == ["chunk_id"]
+    store.set_indexing_threshold(2)
+    put(("c", "4", [0.0, 1.0]), ("b", "5", [0.0, 1.0]))
+    assert store.count() == 3 and len(store._state()[1]) == 1  # merged into one base
+    with pytest.raises(Exception, match="expected 2"):
+        put(("d", "6", [1.0]))
+
+
+def test_ranks_of_large_groups(spark):
+    from corpusloom.operators import ranking
+
+    rows = spark.createDataFrame([("g", i * 7 % 50, i) for i in range(200)], "k string, n int, id int")
+    got = {r["id"]: r["rank"] for r in ranking.numbered(rows, ("k",), -F.col("n"), "id").collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(200), key=lambda i: (-(i * 7 % 50), i)) and sorted(got.values()) == list(range(1, 201))
