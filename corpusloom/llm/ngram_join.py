@@ -9,9 +9,12 @@ most frequent ``FREQUENT`` are broadcast (a fixed bound of 8 MB).
 2. groups that share l prefix elements, with sizes that allow the threshold, are candidate pairs. An element's list
    of up to ``SHORT`` groups is paired out (a bounded number a row) and pairs are counted; a longer list is a chain
    of links to leaders, one row a group, which count in full. Candidates are closed into families;
-3. families are expanded to members, whose whole sets are compared; a family of more than ``BLOCK`` members is
-   dealt by size, each member to its band of sizes and the one below, and a band in blocks; pairs that are known
-   to be connected aren't compared again. Links inside a block leave it as a spanning forest;
+3. families are expanded to members, whose whole sets are verified against each other. A family of up to ``BLOCK``
+   members is one block. A larger one is dealt by size, each member to its band of sizes and the one below, and in
+   three turns: blocks of a band by themselves; one member of each component found so far; then what is left to decide, which
+   is pairs from different components. The family's largest component is sent once for each block of the other members, and those
+   to each of its blocks; so a cluster of copies of any size costs a few times its members, not their square. Links
+   inside a block leave it as a spanning forest;
 4. forests are joined into components.
 """
 
@@ -22,10 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIRST, LOWER, cut, mix, most_frequent, segments, signed, small_side, spread, steps, table, word_hashes, words
+from .common import FIRST, LOWER, cut, mix, most_frequent, segments, signed, spread, steps, table, word_hashes, words
 from .graph import components
 
 FREQUENT = 1 << 19
@@ -191,36 +194,40 @@ def describe(size: int, percent: int, frequent) -> Callable:
     return run
 
 
+#: Where a member is compared: a family's band, a pair of blocks (or one), its own of the two, what it is known to be linked to.
+PLACE = "family long, band long, a long, b long, own long, rep long, label long, shingles array<long>"
+
+
 def expand(size: int) -> Callable:
-    """A family member's text to its set, once for each of its blocks."""
+    """A member's text to its set, once for each of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            family, band, rep, blocks, own = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("family", "band", "rep", "blocks", "block"))
+            rep, places = (batch.column(batch.schema.get_field_index(k)) for k in ("rep", "places"))
             for at, end, data, offsets in steps(batch):
                 h, n = shingles(data, offsets, size)
                 begin = np.cumsum(n) - n
-                times = blocks[at:end]
-                doc, other = segments(times)
-                mine = own[at:end][doc]
-                flat = h[spread(begin[doc], n[doc])]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[doc])).astype(np.int32)), pa.array(signed(flat)))
-                cols = [pa.array(family[at:end][doc]), pa.array(band[at:end][doc]), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine), pa.array(rep[at:end][doc]), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["family", "band", "a", "b", "block", "rep", "shingles"])
+                some = places.slice(at, end - at)
+                doc = np.repeat(np.arange(end - at), np.asarray(some.value_lengths()))
+                flat = some.flatten()
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[doc])).astype(np.int32)), pa.array(signed(h[spread(begin[doc], n[doc])])))
+                family, band, a, b, own, label = (flat.field(k) for k in range(6))
+                yield pa.RecordBatch.from_arrays([family, band, a, b, own, rep.slice(at, end - at).take(pa.array(doc)), label, lists], names=["family", "band", "a", "b", "own", "rep", "label", "shingles"])
 
     return run
 
 
-def forest(rep: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what pairs at the threshold connect (within one block, or across two)."""
+def forest(rep: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what pairs at the threshold connect (within one block, or across two); members with the same
+    ``known`` are linked already."""
     sizes = np.array([len(s) for s in sets])
     order = np.lexsort((rep, sizes))
+    label = np.arange(len(rep)) if known is None else np.unique(known, return_inverse=True)[1][order]
     sizes, rep, block = sizes[order], rep[order], block[order]
     flat = np.concatenate([sets[i] for i in order.tolist()]) if len(sets) else np.zeros(0, np.int64)
     ids = np.unique(flat, return_inverse=True)[1]
     begin = np.cumsum(sizes) - sizes
     across = block.min() != block.max()
-    label = np.arange(len(rep))
     flag = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
     links = []
     for x in range(len(rep) - 1):
@@ -235,6 +242,9 @@ def forest(rep: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
         flag[own] = True
         for k in range(0, len(near), 512):
             some = near[k : k + 512]
+            some = some[label[some] != label[x]]
+            if not len(some):
+                continue
             shared = np.add.reduceat(flag[ids[spread(begin[some], sizes[some])]].astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
             for y in some[100 * shared >= percent * (sizes[x] + sizes[some] - shared)].tolist():
                 if label[y] != label[x]:
@@ -248,33 +258,83 @@ def compare(percent: int) -> Callable:
     """Rows sorted by (family, band, a, b); one pair of blocks in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rep, block, sets = None, [], [], []
-        out: list[tuple[int, int]] = []
+        key, rep, block, known, sets = None, [], [], [], []
+
+        def verified() -> list[pa.RecordBatch]:
+            links = forest(np.array(rep), np.array(block), sets, percent, np.array(known)) if len(rep) > 1 else []
+            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["u", "v"])] if links else []
+
         for batch in batches:
-            family, band, a, b, own, reps = (batch.column(k).to_numpy() for k in range(6))
-            lists = batch.column(6)
+            family, band, a, b, own, reps, label = (batch.column(k).to_numpy() for k in range(7))
+            lists = batch.column(7)
             values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
             change = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (band[1:] != band[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             for lo, hi in zip(change.tolist(), [*change[1:].tolist(), len(family)], strict=True):
                 now = (int(family[lo]), int(band[lo]), int(a[lo]), int(b[lo]))
                 if now != key:
-                    if len(rep) > 1:
-                        out += forest(np.array(rep), np.array(block), sets, percent)
-                    key, rep, block, sets = now, [], [], []
+                    yield from verified()
+                    key, rep, block, known, sets = now, [], [], [], []
                 rep += reps[lo:hi].tolist()
                 block += own[lo:hi].tolist()
+                known += label[lo:hi].tolist()
                 sets += [values[off[i] : off[i + 1]].copy() for i in range(lo, hi)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
-                out = []
-        if len(rep) > 1:
-            out += forest(np.array(rep), np.array(block), sets, percent)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+        yield from verified()
 
     return run
 
 
+def verified(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """u, v: links between members (rep) that share a place (family, band, a, b, own, label)."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lists = placed.groupBy("rep").agg(F.collect_list(F.struct("family", "band", "a", "b", "own", "label")).alias("places"))
+    texts = docs.withColumnRenamed("doc_id", "rep").join(lists, "rep")
+    rows = texts.select("rep", "text", "places").mapInArrow(expand(size), PLACE)
+    return cut(rows.repartition(parts, "family", "band", "a", "b").sortWithinPartitions("family", "band", "a", "b").mapInArrow(compare(percent), "u long, v long"), "verified")
+
+
+def in_blocks(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with the number of blocks of their group and their block."""
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    return rows.join(blocks, list(keys)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+
+
+def numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    return members.drop("label").join(components(links).select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def large_family_links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """u, v: links that connect the members (family, rep, n) of families of more than ``BLOCK``."""
+    # sizes of a linked pair fall into one band or two neighbours, as a band is a little wider than the threshold's ratio
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.01 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
+    banded = cut(members.select("family", "rep", F.explode(F.array(band, band - 1)).alias("band")), "banded")
+    place = lambda rows, a, b, own: rows.select("family", "band", "rep", "label", a.alias("a"), b.alias("b"), own.alias("own"))
+
+    own_label = in_blocks(banded.withColumn("label", F.col("rep")), "family", "band")
+    links = verified(docs, place(own_label, F.col("block"), F.col("block"), F.col("block")), size, percent)
+    # one member of each component, all sizes together: a link found here is as good as any
+    some = with_roots(members.select("family", "rep"), links).groupBy("family", "label").agg(F.min("rep").alias("rep")).withColumns({"band": F.lit(0).cast("long"), "label": F.col("rep")})
+    some = in_blocks(some, "family", "band")
+    links = links.unionByName(verified(docs, place(some, F.col("block"), F.col("block"), F.col("block")), size, percent))
+
+    rooted = cut(with_roots(members.select("family", "rep"), links), "rooted")
+    sizes = rooted.groupBy("family", "label").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    rows = banded.join(rooted, ["family", "rep"]).join(main, "family").withColumn("side", F.when(F.col("label") == F.col("main"), 0).otherwise(1))
+    rows = cut(in_blocks(rows, "family", "band", "side"), "sides")
+    count = lambda side: rows.where(F.col("side") == side).groupBy("family", "band").agg(F.max("blocks").alias("others"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    largest = rows.where("side = 0").join(count(1), ["family", "band"]).withColumn("other", numbers(F.col("others")))
+    others = rows.where("side = 1").join(count(0), ["family", "band"]).withColumn("other", numbers(F.col("others")))
+    among = rows.where("side = 1").withColumn("other", numbers(F.col("blocks")))
+    left = place(largest, F.col("block"), -1 - F.col("other"), zero).unionByName(place(others, F.col("other"), -1 - F.col("block"), one))
+    left = left.unionByName(place(among, F.least("block", "other"), F.greatest("block", "other"), F.col("block")))
+    return links.unionByName(verified(docs, left, size, percent))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -305,17 +365,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     members = reps.join(groups.select("g", "n", "gid"), ["g", "n"]).join(families.select(F.col("node").alias("gid"), "root"), "gid", "left")
     members = cut(members.select("rep", "n", "k1", "k2", F.coalesce("root", "gid").alias("family")), "members")
-    large = members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
-    # sizes of a linked pair fall into one band or two neighbours, as a band is a little wider than the threshold's ratio
-    band = F.floor(F.log(F.col("n").cast("double")) / (1.01 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
-    sent = F.when(F.col("size") <= BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band - 1))
-    dealt = cut(members.join(large, "family").select("family", "rep", F.explode(sent).alias("band")), "dealt")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    counted = dealt.groupBy("family", "band").agg(F.count("*").alias("size"))
-    placed = dealt.join(counted, ["family", "band"]).select("family", "band", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(small_side(placed, "placed"), "rep")
-    spread_out = texts.mapInArrow(expand(size), "family long, band long, a long, b long, block long, rep long, shingles array<long>")
-    links = spread_out.repartition(parts, "family", "band", "a", "b").sortWithinPartitions("family", "band", "a", "b").mapInArrow(compare(percent), "u long, v long")
+    sized = members.join(members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"), "family")
+    zero = F.lit(0).cast("long")
+    small = sized.where(F.col("size") <= BLOCK).select("family", "rep", F.col("rep").alias("label"), zero.alias("band"), zero.alias("a"), zero.alias("b"), zero.alias("own"))
+    links = verified(docs, small, size, percent)
+    large = cut(sized.where(F.col("size") > BLOCK).select("family", "rep", "n"), "large")
+    if not large.isEmpty():
+        links = links.unionByName(large_family_links(docs, large, size, percent))
     found = components(links)
 
     named_reps = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))

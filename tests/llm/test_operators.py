@@ -100,8 +100,10 @@ def test_repeated_windows_of_bytes(docs):
         assert got[i]["removed"] == gone.sum() and bytes(got[i]["kept"]) == np.frombuffer(b, np.uint8)[~gone].tobytes()
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_components(docs, size, percent):
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 1024), (5, 80, 1024), (3, 50, 3), (5, 80, 2)])
+def test_components(docs, monkeypatch, size, percent, block):
+    """Against all pairs; with tiny blocks every family is a large one."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     sets = {}
     for i, t in texts_of(docs).items():
         w = WORD.findall(t.encode().lower().decode())
