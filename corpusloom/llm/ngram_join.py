@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import FIRST, LOWER, cut, mix, most_frequent, segments, signed, spread, steps, table, word_hashes, words
 from .graph import components
+from .oracles import jaccard_components as components_sql
 
 FREQUENT = 1 << 19
 BLOCK = 1024
@@ -384,3 +385,4 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
+ORACLE_SQL = {"op5_ngram_jaccard_join": components_sql(3, 90)}

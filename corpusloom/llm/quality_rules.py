@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .oracles import quality
 
 #: Java's class of the contracts' white space.
 SPACE = " \t\n\x0b\f\r"
@@ -153,3 +154,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
+ORACLE_SQL = {"op7_quality_rules": quality(RULES, GROWTH, FLOOR, CHANCE, LEAST, APART, MIN_WORDS)}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import spread, table, word_hashes, words
 from .fm_index import FMIndex, joined
+from .oracles import repeated_words
 from .repeats import Kind, Shard, without_repeats
 
 LENGTH, GRAM = 20, 8
@@ -104,3 +105,4 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
+ORACLE_SQL = {"op6_substring_dedup": repeated_words(LENGTH)}

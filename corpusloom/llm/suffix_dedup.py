@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fm_index import FMIndex, intervals, joined
+from .oracles import repeated_bytes
 from .repeats import Kind, Shard, without_repeats
 
 LENGTH, GRAM = 400, 200
@@ -53,3 +54,4 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffix_array_dedup": op8_suffix_array_dedup}
+ORACLE_SQL = {"op8_suffix_array_dedup": repeated_bytes(LENGTH)}
