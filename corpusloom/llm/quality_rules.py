@@ -54,17 +54,17 @@ def let(value: Column, body) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each document (a null text is empty)."""
+    """doc_id, lang, source, text_hash and the counts of each document (a null text is empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.regexp_replace(text, f"^{SPLIT}|{SPLIT}$", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    base = docs.select("doc_id", "lang", "source", text.alias("text"), words.alias("words"), lines.alias("lines"))
+    base = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), text.alias("text"), words.alias("words"), lines.alias("lines"))
     windows = F.when(F.size("words") < 3, F.array().cast("array<bigint>")).otherwise(
         let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     )
     counted = base.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "text_hash",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -133,6 +133,16 @@ def fences(measures: DataFrame) -> DataFrame:
     return out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *limits)
 
 
+def verdicts(docs: DataFrame) -> DataFrame:
+    """What quality_rules gives, with lang, source and text_hash, which tell rows with one id apart."""
+    measures = cut(ratios(measured(docs)), "measures")
+    limits = fences(measures)
+    joined = measures.join(limits, F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source")), "left")
+    beyond = [(F.col(n) > F.col(f"high_{n}")) if side == "high" else (F.col(n) < F.col(f"low_{n}")) for n, side, _, _ in RULES]
+    broken = reduce(lambda a, b: a | b, [F.coalesce(b, F.lit(False)) for b in beyond])
+    return joined.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~broken).alias("kept"))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, base_failed and kept of every document.
 
@@ -141,12 +151,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     an empty table nothing is judged. A document is rejected where the base rule fails or a ratio is beyond the
     fence of its language and source.
     """
-    measures = cut(ratios(measured(docs)), "measures")
-    limits = fences(measures)
-    joined = measures.join(limits, F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source")), "left")
-    beyond = [(F.col(n) > F.col(f"high_{n}")) if side == "high" else (F.col(n) < F.col(f"low_{n}")) for n, side, _, _ in RULES]
-    broken = reduce(lambda a, b: a | b, [F.coalesce(b, F.lit(False)) for b in beyond])
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~broken).alias("kept"))
+    return verdicts(docs).drop("lang", "source", "text_hash")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, each by its own verdict, with all their columns (but one named text_hash)."""
+    docs = docs.drop("text_hash")
+    keys = ("doc_id", "lang", "source", "text_hash")
+    good = verdicts(docs).where("kept").select(*[F.col(k).alias(f"good_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"good_{k}")) for k in keys])
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    return rows.join(good, same, "left_semi").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,13 +397,124 @@ def test_recall_on_the_table(spark):
     assert total == 2000 and hits / total >= 0.9
 
 
+def plain_components(texts, size, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(t.encode().lower().decode())
+        sets[i] = {tuple(w[a : a + size]) for a in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) > 0:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def plain_removal(texts, length):
+    raw = {i: t.encode() for i, t in texts.items()}
+    seen = collections.Counter(b[a : a + length] for b in raw.values() for a in range(len(b) - length + 1))
+    out = {}
+    for i, b in raw.items():
+        gone = np.zeros(len(b), bool)
+        for a in range(len(b) - length + 1):
+            if seen[b[a : a + length]] > 1:
+                gone[a : a + length] = True
+        out[i] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode(errors="ignore")
+    return out
+
+
 def test_pipeline(spark):
+    """Every stage on what the one before has left, against a plain version of it; then run() as a whole."""
+    from tokenizers import Tokenizer
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = quality_rules.quality_rules(docs).where("kept")
-    out = corpus_pipeline.run(spark, DATA)
-    ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
-    assert 0 < len(ids) <= kept.count()
-    left = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    first = {r["component_id"] for r in ngram_join.jaccard_components(left, 5, 80).collect()}
-    assert ids == first
+    left = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        left.append(corpus_pipeline.cut(stage(spark, left[-1], DATA), f"test-{name}"))
+    assert all(d.columns == docs.columns for d in left[:-1])
+
+    counts = [r.asDict() for r in quality_rules.measured(docs).orderBy("doc_id").collect()]
+    want = {r["doc_id"] for r, good in zip(counts, plain_verdicts(counts), strict=True) if good}
+    texts = texts_of(left[1])
+    assert set(texts) == want and texts.items() <= texts_of(docs).items()
+
+    roots = plain_components(texts, 5, 80)
+    want = {i: t for i, t in texts.items() if roots[i] == i}
+    assert texts_of(left[2]) == want and 0 < len(want) < len(texts)
+
+    stripped = plain_removal(want, corpus_pipeline.PASSAGE)
+    assert texts_of(left[3]) == stripped and stripped != want
+    words = {i: t.split() for i, t in stripped.items()}
+    windows = collections.Counter(tuple(w[k : k + 51]) for w in words.values() for k in range(len(w) - 50))
+    assert max(windows.values(), default=0) <= 1  # no passage of over 50 words is left twice
+
+    replaced = texts_of(left[4])
+    entities = {r["doc_id"]: r["n_entities"] for r in pii.replace_pii(left[3], pii.key_of(spark)).collect()}
+    assert all((replaced[i] == stripped[i]) == (entities[i] == 0) for i in stripped) and any(entities.values())
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    pieces, spots = collections.defaultdict(list), collections.defaultdict(list)
+    for r in left[5].collect():
+        pieces[r["doc_id"]].append(r)
+        spots[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for i, t in replaced.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        assert [r["ids_crc32"] for r in sorted(pieces[i], key=lambda r: r["piece"])] == [zlib.crc32(ids[k : k + 4096].tobytes()) for k in range(0, len(ids), 4096)]
+    for at in spots.values():
+        assert [o for o, _ in sorted(at)] == np.cumsum([0, *[n for _, n in sorted(at)]])[:-1].tolist() and sum(n for _, n in at) <= 4096
+    assert set(pieces) == set(replaced) and len(spots) <= math.ceil(total / 4096) + 1
+
+    rows = lambda d: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in d.collect())
+    assert rows(corpus_pipeline.run(spark, DATA)) == rows(left[5])
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    n = odd.count()
+    stages = dict(corpus_pipeline.STAGES)
+    good = " ".join(f"word{i} and some text{i}." for i in range(40))
+    twins = spark.createDataFrame([(500, good, "en", "s", 1, 1, 1, "p", 0.5), (500, "#$% " * 60, "en", "s", 1, 1, 1, "p", 0.5), (None, good + " end", None, None, None, None, None, None, None)], SCHEMA)
+    kept = stages["quality_rules"](spark, odd.unionByName(twins), DATA)
+    assert sorted((r["doc_id"] or -1, r["text"][:5]) for r in kept.where("doc_id = 500 OR doc_id IS NULL").collect()) == [(-1, "word0"), (500, "word0")]
+    assert stages["ngram_jaccard_join"](spark, odd, DATA).count() == n - 1  # of the two equal texts the one with the larger id goes
+    for name in ("suffix_array_dedup", "pii_surrogates"):
+        out = stages[name](spark, odd, DATA)
+        assert out.count() == n and out.columns == corpus_pipeline.COLUMNS
+    assert stages["best_fit_packing"](spark, odd, DATA).where("piece = 0").count() == n
+    empty = odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
+
+
+def test_word_and_piece_digests_of_the_table(spark, docs):
+    """The query's digests against the library's ids, over a whole table."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in piece_codec.op9_piece_round_trip(spark, DATA).collect()}
+    for i, t in texts_of(docs).items():
+        ids = library.encode(t, add_bos=True, add_eos=True)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
+
+
+def test_scores_of_a_model_token_by_token():
+    """The kernel that scores documents against a softmax over all units, written out."""
+    rng = np.random.default_rng(1)
+    model = {k: rng.normal(0, 0.4, (lm_score.UNITS, lm_score.WIDTH)).astype(np.float32) for k in ("a", "b", "q")} | {"bias": rng.normal(0, 1, lm_score.UNITS).astype(np.float32)}
+    tables = lm_score.Normalised(model)
+    units = rng.integers(0, lm_score.UNITS, 40)
+    one, two = rng.integers(0, lm_score.UNITS, 40), rng.integers(0, lm_score.UNITS, 40)
+    for w, u, v, got in zip(units, one, two, tables.of(units, one, two), strict=True):
+        s = (model["a"][u].astype(float) + model["b"][v]) @ model["q"].astype(float).T + model["bias"]
+        assert abs(got - (s[w] - np.log(np.exp(s - s.max()).sum()) - s.max()) / math.log(10)) < 1e-4
