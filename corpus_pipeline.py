@@ -17,7 +17,7 @@ from corpusloom.llm.common import cut, table
 from corpusloom.llm.ngram_join import jaccard_components
 from corpusloom.llm.packing import TOKENIZER, best_fit_pack
 from corpusloom.llm.pii import key_of, replace_pii
-from corpusloom.llm.quality_rules import quality_rules
+from corpusloom.llm.quality_rules import kept_documents
 from corpusloom.llm.suffix_dedup import remove_repeated_bytes
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,19 +29,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go (null and empty texts among them)."""
-    kept = quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the rules reject go, null and empty texts among them. Every row goes by its own verdict, whatever
+    its id; null languages and sources are groups of their own."""
+    return kept_documents(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id (five words, 0.8)."""
-    copies = jaccard_components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id")
+    """One document of each group of near-duplicates stays, the one with the smallest id (five words, 0.8).
+
+    Rows without an id or without words stay; rows that share an id stay or go together."""
+    copies = jaccard_components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of ``PASSAGE`` bytes that occur twice or more go from the texts; a character cut in part goes whole."""
+    """Strings of ``PASSAGE`` bytes that occur twice or more go from the texts; a character cut in part goes whole.
+
+    Every row stays. Rows without an id are kept as they are; a null text becomes empty; rows that share an id are copies."""
     out = remove_repeated_bytes(docs, carried=("lang", "source"), length=PASSAGE, gram=PASSAGE * 5 // 8)
     raw = F.col("kept").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.translate(F.make_valid_utf8(raw), "\ufffd", ""))
@@ -49,10 +53,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return replace_pii(docs, key_of(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Personal data and secrets are replaced; every row stays, and texts without any are unchanged (null ones null)."""
+    return replace_pii(docs.select(*COLUMNS), key_of(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows' pieces and their places in sequences; a null or empty text is one piece with the end id alone, and rows with
+    a null or shared id are packed each for itself."""
     return best_fit_pack(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -64,7 +71,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packing),
 ]
 
-#: SQL can't express the stages; the tests compare the ids that run() leaves with the operators', not its rows.
+#: SQL can't express the stages; the tests hold every stage, on what the one before has left, against a plain version.
 ORACLE_SQL: str | None = None
 
 
