@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, mix, signed, spread, table
+from .common import cut, discard, frugal, mix, signed, spread, table
 
 TABLES = 4
 SAMPLE, PROBES = 4096, 64
@@ -120,6 +120,7 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+@frugal
 def index_rows(hashing, groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hashing.value
@@ -136,6 +137,7 @@ def index_rows(hashing, groups: int) -> Callable:
     return run
 
 
+@frugal
 def query_rows(hashing, groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hashing.value

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, most_frequent, segments, table, text_column
+from .common import cut, frugal, most_frequent, segments, table, text_column
 
 UNITS = 1024
 OWN = 767
@@ -180,6 +180,7 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+@frugal
 def train(shared, lexicon, round_no: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, noise = shared.value
@@ -227,6 +228,7 @@ class Normalised:
 _tables: dict[bytes, Normalised] = {}
 
 
+@frugal
 def score(model, lexicon) -> Callable:
     """One row a document: a key, n_tokens, what the head and the model give, and the words outside the head."""
 

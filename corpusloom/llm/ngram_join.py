@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIRST, LOWER, cut, mix, most_frequent, segments, signed, spread, steps, table, word_hashes, words
+from .common import FIRST, LOWER, cut, frugal, mix, most_frequent, segments, signed, spread, steps, table, word_hashes, words
 from .graph import components
 from .oracles import jaccard_components as components_sql
 
@@ -56,6 +56,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return h[new], np.bincount(doc[new], minlength=len(n_words))
 
 
+@frugal
 def local_frequencies(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -96,6 +97,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(SHARED, least_overlap(n, percent))
 
 
+@frugal
 def candidates(percent: int) -> Callable:
     """Rows (token, n, gid) sorted so -> (u, v, need, chained). Short lists give their pairs; a longer one is a chain of
     links to leaders, each leader followed by the sizes that may reach the one before."""
@@ -165,6 +167,7 @@ def candidates(percent: int) -> Callable:
     return run
 
 
+@frugal
 def describe(size: int, percent: int, frequent) -> Callable:
     """doc_id, n, the set's identity, its prefix's identity and the prefix."""
 
@@ -199,6 +202,7 @@ def describe(size: int, percent: int, frequent) -> Callable:
 PLACE = "family long, band long, a long, b long, own long, rep long, label long, shingles array<long>"
 
 
+@frugal
 def expand(size: int) -> Callable:
     """A member's text to its set, once for each of its places."""
 
@@ -255,6 +259,7 @@ def forest(rep: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
     return links
 
 
+@frugal
 def compare(percent: int) -> Callable:
     """Rows sorted by (family, band, a, b); one pair of blocks in memory at a time."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Merges
-from .common import cut, table, text_column
+from .common import cut, frugal, frugal, table, text_column
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -108,6 +108,7 @@ class WordIds:
 _words: dict[str, WordIds] = {}
 
 
+@frugal
 def tokenise(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Merges
-from .common import spread, table, text_column
+from .common import frugal, frugal, spread, table, text_column
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -115,6 +115,7 @@ def codec(path: str) -> PieceCodec:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+@frugal
 def run(path: str):
     def encode_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, cut, discard, mix, most_frequent, segments, signed, spread, steps, window_min, word_hashes, words
+from .common import FIRST, SECOND, cut, discard, frugal, mix, most_frequent, segments, signed, spread, steps, window_min, word_hashes, words
 
 #: Bytes of content that an index is built over at a time; one anchor's distinct segments are never parted.
 SHARD_BYTES = 1 << 20
@@ -115,6 +115,7 @@ def each_step(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield ids[at:end], data, offsets
 
 
+@frugal
 def count_grams(kind: Kind) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +141,7 @@ def frequent_grams(docs: DataFrame, kind: Kind) -> Frequent | None:
     return Frequent(values.view(np.uint64)) if len(values) else None
 
 
+@frugal
 def count_anchors(kind: Kind, frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +153,7 @@ def count_anchors(kind: Kind, frequent) -> Callable:
     return run
 
 
+@frugal
 def list_segments(kind: Kind, frequent, hot) -> Callable:
     """Segments with a salt: of a hot anchor they go to one of ``SALTS`` parts by document."""
 
@@ -172,6 +175,7 @@ def list_segments(kind: Kind, frequent, hot) -> Callable:
 STRINGS = "key long, doc_id long, begin long, text binary, parts array<struct<anchor:long,content:long,off:long,count:long,n:long>>"
 
 
+@frugal
 def fetch(kind: Kind) -> Callable:
     """Contents of the wanted segments from rows of one document with its text and the list of them."""
 
@@ -264,6 +268,7 @@ def runs_of(gone: np.ndarray, begin: np.ndarray, count: np.ndarray) -> list[pa.A
 DECIDED = "anchor long, content long, again_at array<long>, again_n array<long>, later_at array<long>, later_n array<long>"
 
 
+@frugal
 def sharded(index: Callable[[Shard], tuple[np.ndarray, np.ndarray]]) -> Callable:
     """Strings in the order of their keys, in shards of whole keys; index(shard) says of every window whether it occurs
     again, and whether it has an occurrence before its own place."""
@@ -346,6 +351,7 @@ def merged(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+@frugal
 def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
