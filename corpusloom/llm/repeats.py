@@ -310,7 +310,8 @@ def sharded(index: Callable[[Shard], tuple[np.ndarray, np.ndarray]]) -> Callable
 
 
 def removed_ranges(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
-    """doc_id, ranges: array of (from, to) symbol ranges to remove, unordered and overlapping."""
+    """doc_id, ranges (array of (from, to) symbol ranges to remove, unordered and overlapping), anchors (segments whose anchor
+    occurs more than once: a string of at least ``gram`` symbols in them is somewhere else, too)."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_grams(docs, kind))
@@ -338,7 +339,7 @@ def removed_ranges(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
     gone = ranges("again_at", "again_n")
     if kind.keep_first:
         gone = F.when((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.first") == F.col("first")), ranges("later_at", "later_n")).otherwise(gone)
-    out = cut(row.select("doc_id", F.explode(gone).alias("range")).groupBy("doc_id").agg(F.collect_list("range").alias("ranges")), "ranges")
+    out = cut(row.select("doc_id", gone.alias("gone")).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("ranges"), F.count("*").alias("anchors")), "ranges")
     discard(repeated, members, distinct)
     return out
 
@@ -356,7 +357,7 @@ def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            ranges = batch.column(batch.schema.get_field_index("ranges"))
+            ranges, anchors = (batch.column(batch.schema.get_field_index(c)) for c in ("ranges", "anchors"))
             for at, end, data, offsets in steps(batch, limit=1 << 20):
                 kept_text, total, removed, spans, sha = [], [], [], [], []
                 if kind.unit == "word":
@@ -381,15 +382,18 @@ def digest(kind: Kind, with_text: bool, carried: list[str]) -> Callable:
                     spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
                     sha.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(c)).slice(at, end - at) for c in carried), ids.slice(at, end - at), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept_text, pa.binary()), pa.array(sha, pa.string())],
-                    names=[*carried, "doc_id", "total", "removed", "spans", "kept", "sha"],
+                    [*(batch.column(batch.schema.get_field_index(c)).slice(at, end - at) for c in carried), ids.slice(at, end - at), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept_text, pa.binary()), pa.array(sha, pa.string()), anchors.slice(at, end - at)],
+                    names=[*carried, "doc_id", "total", "removed", "spans", "kept", "sha", "anchors"],
                 )
 
     return run
 
 
 def without_repeats(docs: DataFrame, kind: Kind, index: Callable, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The carried columns, doc_id, total, removed, spans, kept (bytes, or null), sha of every document.
+    """The carried columns, doc_id, total, removed, spans, kept (bytes, or null), sha, anchors of every document.
+
+    ``anchors`` counts a document's places where a string of at least ``gram`` symbols occurs somewhere else, too, as far as windows have
+    chosen them: a hint at repeats that are too short to go.
 
     Kept bytes may hold parts of characters where a removed range ends inside one. Null and empty texts stay empty. Rows
     with a null id are kept whole and match nothing; rows that share an id count as copies of one document and
@@ -397,5 +401,6 @@ def without_repeats(docs: DataFrame, kind: Kind, index: Callable, with_text: boo
     """
     ranges = removed_ranges(docs, kind, index)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    schema = fields + ", " * bool(fields) + "doc_id long, total long, removed long, spans long, kept binary, sha string"
-    return docs.select(*carried, "doc_id", "text").join(ranges, "doc_id", "left").mapInArrow(digest(kind, with_text, list(carried)), schema)
+    schema = fields + ", " * bool(fields) + "doc_id long, total long, removed long, spans long, kept binary, sha string, anchors long"
+    rows = docs.select(*carried, "doc_id", "text").join(ranges, "doc_id", "left").withColumn("anchors", F.coalesce("anchors", F.lit(0).cast("long")))
+    return rows.mapInArrow(digest(kind, with_text, list(carried)), schema)

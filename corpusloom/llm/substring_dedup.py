@@ -95,7 +95,7 @@ def repeated_windows(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeated_words(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows."""
+    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha, anchors: see :func:`repeats.without_repeats` for odd rows."""
     return without_repeats(docs, Kind("word", LENGTH, GRAM, keep_first=True), repeated_windows, with_text, carried)
 
 

@@ -41,7 +41,7 @@ def repeated_windows(length: int):
 
 
 def remove_repeated_bytes(docs: DataFrame, with_text: bool = True, carried: tuple[str, ...] = (), length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha: see :func:`repeats.without_repeats` for odd rows.
+    """The carried columns, doc_id, total, removed, spans, kept (bytes), sha, anchors: see :func:`repeats.without_repeats` for odd rows.
 
     ``length`` is the shortest repeated string that goes; ``gram`` (shorter) only deals text to shards.
     """
@@ -49,9 +49,15 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = True, carried: tupl
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_shared_anchors: places with a string of 200 bytes or more that is somewhere else, too, whether or not 400 bytes repeat."""
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
-    return out.select("doc_id", F.col("total").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    return out.select("doc_id", F.col("total").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("anchors").alias("n_shared_anchors"))
 
 
-QUERIES = {"op8_suffix_array_dedup": op8_suffix_array_dedup}
-ORACLE_SQL = {"op8_suffix_array_dedup": repeated_bytes(LENGTH)}
+def suffix_array_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result without the hint, which hangs on hashes and so has no SQL."""
+    return op8_suffix_array_dedup(spark, sf_dir).drop("n_shared_anchors")
+
+
+QUERIES = {"op8_suffix_array_dedup": op8_suffix_array_dedup, "suffix_array_removal": suffix_array_removal}
+ORACLE_SQL = {"suffix_array_removal": repeated_bytes(LENGTH)}
