@@ -74,6 +74,30 @@ class Frequent:
         return out
 
 
+def rightmost_minima(keys: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` keys (their upper 52 bits), its place modulo 4096 in the lower bits, inverted: of equal keys the
+    rightmost is the smallest. Windows over a multiple of 4096 count places from another origin, else their order would turn there."""
+    turn, half = np.uint64(0xFFF), np.uint64(2048)
+    out = window_min((keys | turn) ^ (np.arange(len(keys), dtype=np.uint64) & turn), width)
+    over = np.arange(4096, len(keys), 4096)
+    if width < 2 or not len(over):
+        return out
+    if width > half:
+        raise ValueError(f"width is at most {half}")
+    span = over[:, None] + np.arange(1 - width, width - 1)  # the keys of the windows that hold a multiple and the place before it
+    low = (np.append(keys, np.full(width, 2**64 - 1, np.uint64))[span] | turn) ^ ((span.astype(np.uint64) + half) & turn)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        low = np.minimum(low[:, :-step], low[:, step:])
+        have += step
+    at = span[:, : width - 1]
+    place = (((low & turn) ^ turn) - half) & turn
+    inside = at < len(out)
+    out[at[inside]] = ((low & ~turn) | (place ^ turn))[inside]
+    return out
+
+
 def anchored(kind: Kind, symbols: np.ndarray, first: np.ndarray, frequent: Frequent | None) -> tuple[np.ndarray, ...]:
     """(first window in the text, windows, anchor) of each segment."""
     n, size = len(symbols), kind.length
@@ -86,8 +110,7 @@ def anchored(kind: Kind, symbols: np.ndarray, first: np.ndarray, frequent: Frequ
         keys = grams >> np.uint64(1)
         hot = frequent.holds(grams)
         keys[hot] |= np.uint64(1 << 63)
-    place = np.arange(len(keys), dtype=np.uint64)  # its low bits tell one occurrence of a gram from the next
-    low = window_min((keys | np.uint64(0xFFF)) ^ (place & np.uint64(0xFFF)), size - kind.gram + 1)
+    low = rightmost_minima(keys, size - kind.gram + 1)
     change = np.empty(n - size + 2, bool)  # with the end of the last segment
     np.not_equal(low[1:], low[:-1], out=change[1:-1])
     change[0] = change[-1] = True

@@ -253,6 +253,26 @@ def test_segments_cover_each_window_once():
         assert sorted(windows) == [(i, j) for i, r in enumerate(raw) for j in range(max(0, len(r) - 399))]
 
 
+@pytest.mark.parametrize("width", [2, 145, 201])
+def test_rightmost_minima_across_block_edges(width):
+    rng = np.random.default_rng(width)
+    keys = rng.integers(0, 6, 9000).astype(np.uint64) << np.uint64(20)
+    got = repeats.rightmost_minima(keys, width)
+    for i in [*range(0, 9000 - width + 1, 97), *range(4096 - width - 2, 4100), *range(8192 - width - 2, 8196)]:
+        want = max(j for j in range(i, i + width) if keys[j] == keys[i : i + width].min())
+        assert got[i] == (keys[want] | np.uint64(0xFFF)) ^ np.uint64(want & 0xFFF)
+
+
+def test_no_segment_repeats_itself():
+    """A text with short periods at any place: equal windows are in different segments, so they are counted."""
+    kind = repeats.Kind("byte", 400, 200, False)
+    raw = b"".join(bytes(random.Random(k).choices(b"abcdefgh", k=300)) + b"ha, ha! " * (60 + k) for k in range(40))
+    offsets = np.array([0, len(raw)])
+    _, anchor, content, first, count = repeats.segments_of(kind, np.frombuffer(raw, np.uint8), offsets)
+    for f, n in zip(first.tolist(), count.tolist(), strict=True):
+        assert len({raw[a : a + 400] for a in range(f, f + n)}) == n
+
+
 def test_frequent_grams_anchor_only_windows_of_nothing_else():
     kind = repeats.Kind("byte", 40, 8, False)
     rng = random.Random(5)
