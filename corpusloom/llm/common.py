@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 250_000
 
 
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """df as a table, marked for broadcast only if it has been counted to be small; else joins shuffle it."""
+    df = cut(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(at most ``limit`` rows with the largest n, all others): cut at a level of log2(n) from the levels' sizes (a few
     thousand numbers), so no task sorts or gathers more than its share."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, FIRST, LOWER, cut, frugal, mix, most_frequent, segments, signed, spread, steps, table, word_hashes, words
+from .common import BROADCAST_ROWS, FIRST, LOWER, cut, frugal, mix, most_frequent, segments, signed, small_side, spread, steps, table, word_hashes, words
 from .graph import components
 from .oracles import jaccard_components as components_sql
 
@@ -304,7 +304,7 @@ def verified(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> Dat
 def in_blocks(rows: DataFrame, *keys: str) -> DataFrame:
     """rows with the number of blocks of their group and their block."""
     blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    return rows.join(blocks, list(keys)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    return rows.join(small_side(blocks, "blocks"), list(keys)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
 
 
 def numbers(n: Column) -> Column:
@@ -332,9 +332,9 @@ def large_family_links(docs: DataFrame, members: DataFrame, size: int, percent:
     rooted = cut(with_roots(members.select("family", "rep"), links), "rooted")
     sizes = rooted.groupBy("family", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("family").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    rows = banded.join(rooted, ["family", "rep"]).join(main, "family").withColumn("side", F.when(F.col("label") == F.col("main"), 0).otherwise(1))
+    rows = banded.join(rooted, ["family", "rep"]).join(small_side(main, "main"), "family").withColumn("side", F.when(F.col("label") == F.col("main"), 0).otherwise(1))
     rows = cut(in_blocks(rows, "family", "band", "side"), "sides")
-    count = lambda side: rows.where(F.col("side") == side).groupBy("family", "band").agg(F.max("blocks").alias("others"))
+    count = lambda side: small_side(rows.where(F.col("side") == side).groupBy("family", "band").agg(F.max("blocks").alias("others")), "counts")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     largest = rows.where("side = 0").join(count(1), ["family", "band"]).withColumn("other", numbers(F.col("others")))
     others = rows.where("side = 1").join(count(0), ["family", "band"]).withColumn("other", numbers(F.col("others")))
@@ -374,13 +374,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     members = reps.join(groups.select("g", "n", "gid"), ["g", "n"]).join(families.select(F.col("node").alias("gid"), "root"), "gid", "left")
     members = cut(members.select("rep", "n", "k1", "k2", F.coalesce("root", "gid").alias("family")), "members")
-    sized = members.join(members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"), "family")
+    sizes = cut(members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    many = sizes.where(F.col("size") > BLOCK).select("family")
+    rest, links = members, None
+    if not many.isEmpty():  # a hot family isn't dealt by its key
+        many = small_side(many, "large-families")
+        links = large_family_links(docs, cut(members.join(many, "family").select("family", "rep", "n"), "large"), size, percent)
+        rest = members.join(many, "family", "left_anti")
     zero = F.lit(0).cast("long")
-    small = sized.where(F.col("size") <= BLOCK).select("family", "rep", F.col("rep").alias("label"), zero.alias("band"), zero.alias("a"), zero.alias("b"), zero.alias("own"))
-    links = verified(docs, small, size, percent)
-    large = cut(sized.where(F.col("size") > BLOCK).select("family", "rep", "n"), "large")
-    if not large.isEmpty():
-        links = links.unionByName(large_family_links(docs, large, size, percent))
+    small = rest.join(sizes.where(F.col("size") <= BLOCK), "family")
+    small = verified(docs, small.select("family", "rep", F.col("rep").alias("label"), zero.alias("band"), zero.alias("a"), zero.alias("b"), zero.alias("own")), size, percent)
+    links = small if links is None else links.unionByName(small)
     found = components(links)
 
     named_reps = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
