@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import cut
+
 from .bm25 import PLACES
 
 BLOCK_FLOATS = 8_000_000
@@ -57,11 +59,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = True,
     asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
     first = asked.select(F.size("embedding").alias("d"), F.lit(0)).first()
     size = max(1, BLOCK_FLOATS // max(1, first["d"])) if first else 1
-    n = asked.count()
-    parts = max(1, -(-n // size))
+    parts = max(1, -(-asked.count() // size))
+    if parts > 1:  # what queries are made from is read once
+        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))), "queries")
     found = None
     for p in range(parts):
-        some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
+        some = asked if parts == 1 else asked.where(F.col("block") == p).drop("block")
         t = some.toArrow().combine_chunks()  # at most about BLOCK_FLOATS numbers
         ids = t.column(0).to_numpy().astype(np.int64) if len(t) else np.zeros(0, np.int64)
         q = _matrix(t.column(1).combine_chunks()) if len(t) else np.zeros((0, 1))

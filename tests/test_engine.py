@@ -284,3 +284,17 @@ def test_ranks_of_large_groups(spark):
     rows = spark.createDataFrame([("g", i * 7 % 50, i) for i in range(200)], "k string, n int, id int")
     got = {r["id"]: r["rank"] for r in ranking.numbered(rows, ("k",), -F.col("n"), "id").collect()}
     assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(200), key=lambda i: (-(i * 7 % 50), i)) and sorted(got.values()) == list(range(1, 201))
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    """Queries beyond a block's size are dealt to several; the result is the same."""
+    import numpy as np
+    from corpusloom.operators import dense
+
+    x = np.random.default_rng(2).normal(size=(60, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    find = lambda: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in dense.search(rows, asked, 3).collect())
+    whole = find()
+    monkeypatch.setattr(dense, "BLOCK_FLOATS", 40)
+    assert find() == whole and len(whole) == 60
