@@ -33,7 +33,7 @@ from .graph import components
 from .oracles import jaccard_components as components_sql
 
 FREQUENT = 1 << 19
-BLOCK = 1024
+BLOCK = 4096
 #: Elements that a pair must share in its prefixes (fewer for tiny sets), and the longest list that is paired out.
 SHARED, SHORT = 3, 32
 
