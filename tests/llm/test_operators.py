@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -60,6 +61,32 @@ def test_odd_rows_keep_every_row(odd):
         assert out.where("piece = 0").count() == n if name == "packing" else out.count() == n, name
 
 
+def test_odd_rows_have_defined_values(odd):
+    """Null, empty, blank and repeated texts, null ids: what each operator says of them."""
+    rows = {(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()}
+    by = lambda out, *cols: sorted({(r["doc_id"] if r["doc_id"] is not None else -1, *(r[c] for c in cols)) for r in out.collect()})
+    everything = all_operators(odd)
+    assert by(everything["bytes"], "total", "removed", "spans")[:3] == [(-1, 5, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
+    removed = {i: n for i, n in by(everything["bytes"], "removed")}
+    of = dict(rows)
+    start = len(os.path.commonprefix([of[6], of[8]]))
+    assert removed[6] == removed[8] == start > 2999 and removed[10] == 1200 and removed[4] == removed[9] == 0  # a copied start, a text of one letter
+    words = {i: (n, k) for i, n, k in by(everything["words"], "total", "removed")}
+    assert words[0] == words[1] == words[2] == (0, 0) and words[3] == (1, 0) and words[6][1] == 0 and words[8][1] > 400
+    scores = {i: (n, k) for i, n, k in by(everything["scores"], "n_tokens", "n_known")}
+    assert scores[0] == scores[1] == scores[2] == (1, 1) and scores[3][0] == 2
+    join = {i: (n, c) for i, n, c in by(everything["join"], "n_shingles", "component_id")}
+    assert join[0] == (0, 0) and join[1] == (0, 1) and join[4] == (2, 4) and join[5] == (2, 4) and join[-1] == (1, None)
+    kept = {i: (n, k) for i, n, k in by(everything["quality"], "n_words", "kept")}
+    assert kept[0] == kept[1] == kept[2] == (0, False) and kept[6][1] and not kept[9][1]
+    pieces = {i: n for i, n in by(everything["pieces"], "n_tokens")}
+    assert pieces[0] == pieces[1] == 2
+    packed = {i: (k, n) for i, k, n in by(everything["packing"].where("piece = 0"), "start", "length")}
+    assert packed[0] == packed[1] == (0, 1) and packed[6][1] == 4096
+    texts = set(map(tuple, everything["pii"].select("doc_id", "text").collect()))
+    assert {(i, t) for i, t in rows if i != 7} == {(i, t) for i, t in texts if i != 7} and not any(i == 7 and "Smith" in t for i, t in texts)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for name, out in all_operators(empty).items():
@@ -69,6 +96,9 @@ def test_empty_tables(spark):
 
 
 def test_pages_with_nulls(spark):
+    long_page = "<article>" + "<p>Some words, and more.</p>" * 20_000 + "</article>"
+    out = html_extract.extract_main_text(spark.createDataFrame([(1, "u", long_page)], "page_id long, url string, html string")).first()
+    assert out["text"] == "\n".join(["Some words, and more."] * 20_000) and out["n_chars"] == len(out["text"])
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (None, "u", "<p>a, b</p>", "x"), (None, "u", "<p>a, b</p>", "x")]
     out = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "a, b", 4), (0, "a, b", 4), (1, "", 0), (2, "", 0)]
