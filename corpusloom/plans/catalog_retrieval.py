@@ -10,6 +10,7 @@ from corpusloom.operators import bm25, fusion, metrics, models, selection
 from corpusloom.plans import answering, catalog, retrieval
 from corpusloom.plans.registry import long, query, table
 from corpusloom.sources import readers
+from corpusloom.sources.scratch import cut, spread_out
 
 # ---------------------------------------------------------------- lists of several variants
 
@@ -129,7 +130,8 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 @query(f"WITH {DENSE} SELECT query_id, doc_id AS vec_id, score + 0.0 AS score, rank::INTEGER AS rank FROM dr WHERE rank <= 10")
 def baseline_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     embed = models.embedder_udf(lambda: models.HashingEmbedder(DIM))
-    vectors = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("  "), "text").alias("query"))
     return retrieval.baseline(asked, vectors, embed, DIM).select("query_id", "vec_id", (F.col("score") + 0.0).alias("score"), "rank")
 
@@ -160,7 +162,8 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DES
 def engine(spark: SparkSession, sf_dir: str) -> answering.Engine:
     embed = models.embedder_udf(lambda: models.HashingEmbedder(DIM))
     docs = table(spark, sf_dir, "documents")
-    chunks = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("article_id"), "text", embed(F.col("text")).alias("embedding"))
+    chunks = spread_out(docs, "doc_id").select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("article_id"), "text", embed(F.col("text")).alias("embedding"))
+    chunks = cut(chunks, "embedded")  # texts are embedded once, on all cores
     return answering.Engine(chunks, bm25.build_index(docs), embed, models.reranker_udf(models.OverlapReranker))
 
 
