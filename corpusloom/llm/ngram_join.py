@@ -6,9 +6,11 @@ only be good, not exact: elements seen twice or more within an input partition a
 most frequent ``FREQUENT`` are broadcast (a fixed bound of 8 MB).
 
 1. equal sets collapse to one representative; representatives with equal prefixes and sizes form one group;
-2. groups that share l prefix elements, with sizes that allow the threshold, are candidate pairs. An element's list
-   of up to ``SHORT`` groups is paired out (a bounded number a row) and pairs are counted; a longer list is a chain
-   of links to leaders, one row a group, which count in full. Candidates are closed into families;
+2. groups that share l prefix elements, with sizes that allow the threshold, are candidate pairs. In an element's list,
+   sorted by size, a group that up to ``NEAR`` larger ones may reach is paired with each of them (a bounded number a
+   row) and pairs are counted; what more may reach is a chain of links to leaders, one row a group, which count in
+   full. A list that is long by chance holds groups of many sizes, so it is paired out whatever its length; only many
+   groups of about one size, mostly copies, are chained. Candidates are closed into families;
 3. families are expanded to members, whose whole sets are verified against each other. A family of up to ``BLOCK``
    members is one block. A larger one is dealt by size, each member to its band of sizes and the one below, and in
    three turns: blocks of a band by themselves; one member of each component found so far; then what is left to decide, which
@@ -36,6 +38,8 @@ FREQUENT = 1 << 19
 BLOCK = 4096
 #: Elements that a pair must share in its prefixes (fewer for tiny sets), and the longest list that is paired out.
 SHARED, SHORT = 3, 32
+#: Larger groups of a list that one group is paired with, at most; where sizes allow more, they are chained.
+NEAR = 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +103,9 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 @frugal
 def candidates(percent: int) -> Callable:
-    """Rows (token, n, gid) sorted so -> (u, v, need, chained). Short lists give their pairs; a longer one is a chain of
-    links to leaders, each leader followed by the sizes that may reach the one before."""
+    """Rows (token, n, gid) sorted so -> (u, v, need). Short lists give their pairs; a longer one is a chain of
+    links to leaders, each leader followed by the sizes that may reach the one before. Plain form of
+    :func:`near_candidates`, by the lists' lengths alone; the operator doesn't use it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64) for _ in range(3)]
@@ -167,6 +172,64 @@ def candidates(percent: int) -> Callable:
     return run
 
 
+@frugal
+def near_candidates(percent: int, most: int = NEAR) -> Callable:
+    """Rows (token, n, gid) sorted so -> (u, v, need). A row of whose list up to ``most`` later ones may reach its size is
+    paired with each of them; else all that may are linked to one leader, which counts in full (need 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        crowd: tuple[int, int, int] | None = None  # token, size of the last crowded row and its leader
+
+        def links(token: np.ndarray, n: np.ndarray, gid: np.ndarray, end: int) -> pa.RecordBatch | None:
+            """Of the first ``end`` rows; later ones are only looked at."""
+            nonlocal crowd
+            reach = lambda a, d: (token[a + d] == token[a]) & (n[a] * 100 >= percent * n[a + d])
+            crowded = np.zeros(end, bool)
+            far = np.arange(max(0, min(end, len(token) - most - 1)))
+            crowded[: len(far)] = reach(far, most + 1)
+            u, v, need = [], [], []
+            left = np.flatnonzero(~crowded)
+            for d in range(1, most + 1):
+                left = left[left + d < len(token)]
+                left = left[reach(left, d)]
+                if not len(left):
+                    break
+                u.append(gid[left])
+                v.append(gid[left + d])
+                need.append(needed(n[left], percent))
+
+            if crowd or crowded.any():
+                # row 0 stands for the crowded row before these
+                t, m, g = (np.append(np.int64(x), y[:end]) for x, y in zip(crowd or (0, -1, 0), (token, n, gid), strict=True))
+                rows = np.arange(end + 1)
+                last = np.maximum.accumulate(np.where(np.append(crowd is not None, crowded), rows, -1))
+                before = np.append(-1, last[:-1])
+                linked = (before >= 0) & (t[before] == t) & (m[before] * 100 >= percent * m)
+                leader = g[np.maximum.accumulate(np.where(linked, -1, rows))]
+                u.append(leader[linked])
+                v.append(g[linked])
+                need.append(np.zeros(int(linked.sum()), np.int64))
+                crowd = (int(t[last[-1]]), int(m[last[-1]]), int(leader[-1])) if t[last[-1]] == t[-1] else None
+            if not u:
+                return None
+            a, b = np.concatenate(u), np.concatenate(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.concatenate(need).astype(np.int64))], names=["u", "v", "need"])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            end = len(held[0]) - most - 1
+            if end > 0:
+                out = links(*held, end)
+                held = [x[end:] for x in held]
+                if out is not None:
+                    yield out
+        if len(held[0]) and (out := links(*held, len(held[0]))) is not None:
+            yield out
+
+    return run
+
+
 @frugal
 def describe(size: int, percent: int, frequent) -> Callable:
     """doc_id, n, the set's identity, its prefix's identity and the prefix."""
@@ -368,7 +431,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     tokens = heads.select(F.explode("prefix").alias("token"), "n", "gid")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listed = tokens.select("token", "n", "gid").repartition(parts, "token").sortWithinPartitions("token", "n", "gid")
-    near = listed.mapInArrow(candidates(percent), "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    near = listed.mapInArrow(near_candidates(percent), "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
     edges = near.where("shared >= need").select("u", "v")
     families = components(edges)
 

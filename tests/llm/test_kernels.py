@@ -1,5 +1,6 @@
 """The numpy parts against plain versions; no session."""
 
+import collections
 import random
 from html.parser import HTMLParser
 
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from corpusloom.llm import common as C
 from corpusloom.llm import fm_index, html_extract, packing, repeats, substring_dedup, suffix_dedup
-from corpusloom.llm.ngram_join import candidates, forest, shingles
+from corpusloom.llm.ngram_join import candidates, forest, near_candidates, shingles
 from corpusloom.llm.piece_codec import PieceCodec
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -413,3 +414,38 @@ def test_candidates_connect_all_that_sizes_allow(seed, batch):
         if len(members) > 32:
             for (n, g), (m, h) in zip(members, members[1:], strict=False):
                 assert n * 100 < 90 * m or find(g) == find(h)
+
+
+@given(st.integers(0, 10_000), st.integers(1, 60), st.integers(1, 12))
+@settings(max_examples=60, deadline=None)
+def test_near_candidates_are_paired_or_chained_by_sizes(seed, batch, most):
+    """Every pair that sizes allow is there or joined in full; only rows between a crowded one and its reach are joined."""
+    rng = random.Random(seed)
+    rows = sorted({(t, rng.randint(10, 10 + rng.choice([3, 20, 300])), rng.randint(0, 400)) for t in range(6) for _ in range(rng.choice([1, 2, 5, 33, 90]))})
+    cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + batch]) for c in cols], names=["token", "n", "gid"]) for k in range(0, len(rows), batch)]
+    got = [x for b in near_candidates(90, most)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    def closed(links):
+        root = list(range(401))
+        for _ in range(400):
+            before = list(root)
+            for u, v in links:
+                root[u] = root[v] = min(root[u], root[v])
+            if root == before:
+                return root
+        raise AssertionError
+
+    lists, paired, full = {}, collections.Counter(), []
+    for t, n, g in rows:
+        lists.setdefault(t, []).append((n, g))
+    for members in lists.values():
+        for i, (n, g) in enumerate(members):
+            reach = [(m, h) for m, h in members[i + 1 :] if n * 100 >= 90 * m]
+            if len(reach) > most:
+                full += [(g, h) for _, h in reach]
+            else:
+                paired.update((max(g, h), min(g, h), min(3, (90 * n + 99) // 100)) for _, h in reach)
+    assert collections.Counter(x for x in got if x[2]) == paired
+    assert closed([(u, v) for u, v, need in got if not need]) == closed(full)
+    assert sum(not need for *_, need in got) <= len(rows)

@@ -548,3 +548,25 @@ def test_scores_of_a_model_token_by_token():
     for w, u, v, got in zip(units, one, two, tables.of(units, one, two), strict=True):
         s = (model["a"][u].astype(float) + model["b"][v]) @ model["q"].astype(float).T + model["bias"]
         assert abs(got - (s[w] - np.log(np.exp(s - s.max()).sum()) - s.max()) / math.log(10)) < 1e-4
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_one_rare_shingle_makes_no_family_of_documents_of_all_sizes(spark, monkeypatch, size, percent):
+    """Documents that have nothing but one rare shingle in common, and two near copies among them."""
+    tries = [" ".join(f"p{i}x{k}" for k in range(size)) for i in range(4000)]
+    raw = [t.encode() for t in tries]
+    first, _ = ngram_join.shingles(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), size)
+    phrase = tries[int(np.argmin(first))]  # first in every order of elements that aren't frequent
+    sizes = [int(40 * 1.06**i) for i in range(80)]
+    texts = [phrase + "".join(f" d{i}w{k}" for k in range(n)) for i, n in enumerate(sizes)]
+    texts.append(texts[60] + " end")
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+
+    def large(docs, members, *_):
+        raise AssertionError(f"{members.count()} unrelated documents in one family")
+
+    monkeypatch.setattr(ngram_join, "large_family_links", large)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, size, percent).collect()}
+    assert got == {i: 60 if i == 80 else i for i in range(81)}
