@@ -570,3 +570,18 @@ def test_one_rare_shingle_makes_no_family_of_documents_of_all_sizes(spark, monke
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, size, percent).collect()}
     assert got == {i: 60 if i == 80 else i for i in range(81)}
+
+
+def test_pipeline_compares_no_unrelated_documents_of_a_long_list(spark, monkeypatch):
+    """Stage 2 on documents of all sizes with one rare shingle in common: only the near copy goes, without a large family."""
+    near_duplicates = dict(pytest.importorskip("corpus_pipeline").STAGES)["ngram_jaccard_join"]
+    tries = [" ".join(f"q{i}x{k}" for k in range(5)) for i in range(4000)]
+    raw = [t.encode() for t in tries]
+    first, _ = ngram_join.shingles(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), 5)
+    phrase = tries[int(np.argmin(first))]
+    texts = [phrase + "".join(f" d{i}w{k}" for k in range(int(40 * 1.06**i))) for i in range(80)]
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "large_family_links", lambda *_: pytest.fail("unrelated documents in one family"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[60] + " end"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in near_duplicates(spark, docs, DATA).select("doc_id").collect()) == list(range(80))
