@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, table
+from corpusloom.llm.common import cut, table, without
 from corpusloom.llm.ngram_join import jaccard_components
 from corpusloom.llm.packing import TOKENIZER, best_fit_pack
 from corpusloom.llm.pii import key_of, replace_pii
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id or without words stay; rows that share an id stay or go together."""
     copies = jaccard_components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, "doc_id", cut(copies, "copies")).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

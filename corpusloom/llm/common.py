@@ -47,6 +47,29 @@ def small_side(df: DataFrame, label: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Bits of the table of :func:`sieve`: 2^18 numbers at most.
+SLOTS = 1 << 24
+
+
+def sieve(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with a column ``maybe``, false only where ``key`` is none of ids' single column. Those ids are broadcast as bits of
+    their hashes, a bounded table however many they are, so rows need no shuffle to be told apart."""
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(SLOTS).cast("long"))
+    bit = "cast(slot & 63 as int)"
+    words = ids.select(slot(ids.columns[0]).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    told = rows.withColumn("slot", slot(key)).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(words), "word", "left")
+    return told.withColumn("maybe", F.expr(f"coalesce(shiftright(bits, {bit}) & 1L, 0L) = 1")).drop("slot", "word", "bits")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows whose ``key`` is none of the table ids' (of one column of that name); null keys stay. Many ids are joined only with
+    the rows that may have them, as a join of all rows would shuffle their texts."""
+    if ids.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), key, "left_anti")
+    told = sieve(rows, key, ids)
+    return told.where("NOT maybe").drop("maybe").unionByName(told.where("maybe").drop("maybe").join(ids, key, "left_anti"))
+
+
 def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(at most ``limit`` rows with the largest n, all others): cut at a level of log2(n) from the levels' sizes (a few
     thousand numbers), so no task sorts or gathers more than its share."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, FIRST, LOWER, cut, frugal, mix, most_frequent, segments, signed, small_side, spread, steps, table, word_hashes, words
+from .common import BROADCAST_ROWS, FIRST, LOWER, cut, frugal, mix, most_frequent, segments, sieve, signed, small_side, spread, steps, table, word_hashes, words
 from .graph import components
 from .oracles import jaccard_components as components_sql
 
@@ -357,9 +357,12 @@ def verified(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> Dat
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = cut(placed, "placed")
     lists = placed.groupBy("rep").agg(F.collect_list(F.struct("family", "band", "a", "b", "own", "label")).alias("places"))
-    if placed.count() <= BROADCAST_ROWS:  # else the join shuffles
+    texts = docs.withColumnRenamed("doc_id", "rep")
+    if placed.count() <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
-    texts = docs.withColumnRenamed("doc_id", "rep").join(lists, "rep")
+    else:  # the join shuffles, but not the texts of documents that have no place
+        texts = sieve(texts, "rep", placed.select("rep")).where("maybe").drop("maybe")
+    texts = texts.join(lists, "rep")
     rows = texts.select("rep", "text", "places").mapInArrow(expand(size), PLACE)
     return cut(rows.repartition(parts, "family", "band", "a", "b").sortWithinPartitions("family", "band", "a", "b").mapInArrow(compare(percent), "u long, v long"), "verified")
 

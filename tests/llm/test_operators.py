@@ -4,12 +4,15 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
 import pytest
 from corpusloom.llm import ann, html_extract, lm_score, ngram_join, packing, pii, piece_codec, quality_rules, substring_dedup, suffix_dedup
+from corpusloom.llm import common as C
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -585,3 +588,35 @@ def test_pipeline_compares_no_unrelated_documents_of_a_long_list(spark, monkeypa
     monkeypatch.setattr(ngram_join, "large_family_links", lambda *_: pytest.fail("unrelated documents in one family"))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[60] + " end"])], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in near_duplicates(spark, docs, DATA).select("doc_id").collect()) == list(range(80))
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 24])
+def test_many_copies_make_no_shuffle_of_all_texts(spark, monkeypatch, slots):
+    """Stage 2 with more members and copies than may be broadcast: only texts that may be among them are shuffled."""
+    near_duplicates = dict(pytest.importorskip("corpus_pipeline").STAGES)["ngram_jaccard_join"]
+    rng = random.Random(7)
+    texts = [" ".join(rng.randbytes(3000).hex() for _ in range(12)) for _ in range(150)]
+    texts += [t + " end" for t in texts[:10]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1), (3, texts[3], None, None, 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = f"{tempfile.mkdtemp()}/docs"
+    docs.write.parquet(path)
+    for module in (C, ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(C, "SLOTS", slots, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    try:
+        at = written()
+        got = [r["doc_id"] for r in near_duplicates(spark, spark.read.parquet(path), DATA).collect()]
+        shuffled = written() - at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(x for x in got if x is not None) == sorted([*range(150), 3]) and got.count(None) == 1
+    if slots > 64:
+        assert shuffled < sum(map(len, texts)) / 3, f"{shuffled} bytes shuffled of {sum(map(len, texts))} in texts"
