@@ -1,8 +1,8 @@
 """Exact vector search for batches of queries.
 
 Queries go to the vectors in blocks of at most ``BLOCK_FLOATS`` numbers (a fixed bound, whatever their number): each
-block is broadcast, each Arrow batch is one matrix product that keeps k rows a query, and a window merges the
-batches' findings. A block costs one scan of the vectors; no row pair is ever made.
+block is broadcast, a task goes over its vectors in tiles of at most ``TILE_FLOATS`` products and keeps k rows a query, and
+a window merges the tasks' findings. A block costs one scan of the vectors; no row pair is ever made.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import cut
+from corpusloom.sources.scratch import cut, spread_out
 
 from .bm25 import PLACES
 
 BLOCK_FLOATS = 8_000_000
+#: Products that a task holds at a time, and vectors on one side of them.
+TILE_FLOATS, TILE_VECTORS = 2_000_000, 2_000
+#: Rows of a batch that a task gives out.
+OUT_ROWS = 50_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -30,22 +34,53 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def _merge(best: tuple[np.ndarray, np.ndarray], near: np.ndarray, own: np.ndarray, asked: np.ndarray | None) -> None:
+    """Take a tile's products (a row a query) into the k best of its queries: ids and scores, no score being -inf. asked: the
+    queries' ids where a vector of the same id doesn't count."""
+    ids, scores = best
+    k, least = ids.shape[1], scores[:, -1].copy()
+    wanted = k + (asked is not None)
+    new = np.flatnonzero(least == -np.inf)
+    if len(new) and near.shape[1] > wanted:
+        some = np.where(np.isnan(near[new]), -np.inf, near[new])
+        least[new] = np.partition(some, -wanted, axis=1)[:, -wanted]
+    row, col = np.nonzero(near >= (least - 10.0**-PLACES)[:, None])  # rounding moves a score by less
+    score, what = np.round(near[row, col], PLACES), own[col]
+    ok = score > -np.inf if asked is None else (score > -np.inf) & (asked[row] != what)
+    touched = np.unique(row[ok])
+    if not len(touched):
+        return
+    row = np.concatenate([row[ok], np.repeat(touched, k)])
+    score, what = np.concatenate([score[ok], scores[touched].ravel()]), np.concatenate([what[ok], ids[touched].ravel()])
+    order = np.lexsort((what, -score, row))
+    row = row[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = order[place < k]
+    row, place = row[place < k], place[place < k]
+    ids[row, place], scores[row, place] = what[kept], score[kept]
+
+
 def _scan(block, k: int, unit: bool, other_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = block.value
+        if k < 1:
+            return
+        found, scores = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+        high = max(1, TILE_FLOATS // TILE_VECTORS)
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
             own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            scores = np.round(q @ (_unit(x) if unit else x).T, PLACES)
-            if other_only:
-                scores[ids[:, None] == own[None, :]] = -np.inf
-            n = min(k, len(own))
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
-            best = np.take_along_axis(scores, order, 1).ravel()
-            who, what = np.repeat(ids, n), own[order.ravel()]
-            keep = best > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(what[keep]), pa.array(best[keep])], names=["query_id", "vec_id", "score"])
+            x = _unit(x) if unit else x
+            for at in range(0, len(own), TILE_VECTORS):
+                for a in range(0, len(ids), high):
+                    part = slice(a, a + high)
+                    _merge((found[part], scores[part]), q[part] @ x[at : at + TILE_VECTORS].T, own[at : at + TILE_VECTORS], ids[part] if other_only else None)
+        for a in range(0, len(ids), max(1, OUT_ROWS // max(1, k))):
+            part = slice(a, a + max(1, OUT_ROWS // max(1, k)))
+            keep = scores[part] > -np.inf
+            who = np.broadcast_to(ids[part, None], keep.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(found[part][keep]), pa.array(scores[part][keep])], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -55,10 +90,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = True,
 
     Rows with null vectors take no part; ties go to the smaller id."""
     spark = vectors.sparkSession
-    x = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    x = spread_out(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding"), "vec_id")
     asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
     first = asked.select(F.size("embedding").alias("d"), F.lit(0)).first()
-    size = max(1, BLOCK_FLOATS // max(1, first["d"])) if first else 1
+    size = max(1, BLOCK_FLOATS // max(1, first["d"], 2 * k)) if first else 1
     parts = max(1, -(-asked.count() // size))
     if parts > 1:  # what queries are made from is read once
         asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))), "queries")

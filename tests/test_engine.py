@@ -298,3 +298,29 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(dense, "BLOCK_FLOATS", 40)
     assert find() == whole and len(whole) == 60
+
+
+def test_dense_search_holds_one_tile_of_products(spark, monkeypatch):
+    """A task never holds the products of all queries with all vectors of a batch; ties, signs and missing numbers as before."""
+    import numpy as np
+    from corpusloom.operators import dense
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, size=(400, 4)).astype(float)  # many equal scores
+    x[5] = 0
+    ids = rng.permutation(400).astype(np.int64)
+    monkeypatch.setattr(dense, "TILE_FLOATS", 700)
+    monkeypatch.setattr(dense, "TILE_VECTORS", 70)
+    seen, merge = [], dense._merge
+    monkeypatch.setattr(dense, "_merge", lambda best, near, *rest: (seen.append(near.size), merge(best, near, *rest))[1])
+    import pyarrow as pa
+
+    bad = np.vstack([x, [[np.nan] * 4]])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.append(ids, 400)[a : a + 150]), pa.array(bad[a : a + 150].tolist())], names=["vec_id", "embedding"]) for a in range(0, 401, 150)]
+    block = type("B", (), {"value": (ids, dense._unit(x))})
+    for other in (False, True):
+        got = [r for b in dense._scan(block, 6, True, other)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        scores = np.round(dense._unit(x) @ dense._unit(x).T, dense.PLACES)
+        want = [(int(ids[i]), *r) for i in range(400) for r in sorted(((int(ids[j]), float(scores[i, j])) for j in range(400) if not other or i != j), key=lambda r: (-r[1], r[0]))[:6]]
+        assert got == want
+    assert max(seen) <= 700 and len(seen) > 400
