@@ -1,4 +1,6 @@
-"""The few functions that Catalyst can't express, as Arrow-batched pandas UDFs."""
+"""The few functions that Catalyst can't express, as Arrow UDFs that hold one text at a time besides their batch.
+
+Texts that a function would leave as they are don't go to Python: a pattern tells them apart first."""
 
 from __future__ import annotations
 
@@ -6,7 +8,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +23,61 @@ LETTERS = re.compile("[À-ỹ]")
 BREAKS = ("\n\n", "\n", ". ", "; ", ": ", ", ", " ")
 
 
+#: Code points that composition may change or join with others, in wide ranges: no text without them differs from its NFC.
+COMPOSED = "[\u0300-\u036f\u0374\u037e\u0387\u0483-\u0487\u0590-\u1dff\u1f00-\u200f\u20d0-\u20ff\u2126-\u212b\u2300-\u23ff\u2a00-\u2dff\u3000-\u30ff\ua600-\uabff\ud7a4-\U0010ffff]"
+#: The same for Java, which asks a class's parts in turn: one part for most letters. And what traces of a wrong code page
+#: begin with, besides the two of three letters.
+COMPOSED_JAVA = f"[[\u0300-\U0010ffff]&&{COMPOSED}]"
+MARKED = "ÃÂÄÆÊ" + "".join(map(chr, range(0x80, 0xA0)))
+#: Rows of one piece of a function's results.
+PIECE = 128
+
+
 def arrow(kind: str, one) -> Callable[[Column], Column]:
-    """A pandas UDF over one column, made when it is used: workers import this module without a session."""
+    """An Arrow UDF over one column, made when it is used: workers import this module without a session. Values are taken
+    from the batch one by one; a piece whose texts all stay the same is the batch's own."""
+
+    def run(a: pa.Array) -> pa.Array:
+        out, parts = run.type, []
+        for at in range(0, len(a), PIECE):
+            part = a.slice(at, PIECE)
+            old = part.to_pylist()
+            new = [one(x) for x in old]
+            parts.append(part if part.type == out and all(x is y for x, y in zip(old, new, strict=True)) else pa.array(new, out))
+        return pa.concat_arrays(parts) if parts else pa.array([], out)
+
+    run.type = ARROW[kind]
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return lambda c: F.arrow_udf(run, returnType=kind)(c)
+
+
+SPAN = "array<struct<start: int, end: int>>"
+ARROW = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), SPAN: pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+
+
+def where_it_matters(change: Callable[[Column], Column], c: Column, matters: Column) -> Column:
+    """change(c), made only for the texts that it may alter."""
+    return F.coalesce(change(F.when(matters, c)), c)
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
 
-    return lambda c: F.pandas_udf(run, returnType=kind)(c)
+def beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
 
 
-nfc = arrow("string", lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+def may_compose(c: Column) -> Column:
+    return beyond_ascii(c) & c.rlike(COMPOSED_JAVA)
+
+
+def may_be_marked(c: Column, more: str = "") -> Column:
+    return beyond_ascii(c) & (c.rlike(f"[{MARKED}{more}]") | F.contains(c, F.lit("áº")) | F.contains(c, F.lit("á»")))
+
+
+def composed(x: str | None) -> str | None:
+    return x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x)
+
+
+def nfc(c: Column) -> Column:
+    return where_it_matters(arrow("string", composed), c, may_compose(c))
 
 
 def quality(text: str) -> int:
@@ -56,7 +103,13 @@ def repair(text: str | None) -> str | None:
     return whole if whole != text else ENCODED_RUN.sub(lambda m: redecode(m[0]), text)
 
 
-repair_mojibake = arrow("string", repair)
+def repair_mojibake(c: Column) -> Column:
+    return where_it_matters(arrow("string", repair), c, may_be_marked(c))
+
+
+def mended(c: Column) -> Column:
+    """Both, the repair first."""
+    return where_it_matters(arrow("string", lambda x: composed(repair(x))), c, may_be_marked(c, COMPOSED_JAVA))
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -74,11 +127,12 @@ def long_spans(text: str, config: ChunkConfig) -> list[tuple[int, int]]:
         if limit < size:
             earliest = min(limit, start + max(config.min_chunk_chars, config.max_chars // 2))
             end = next((at + len(mark) for mark in BREAKS if (at := text.rfind(mark, earliest, limit)) >= 0), limit)
+        last = end >= size
         begin, end = trimmed(text, start, end) if text[start:end].strip() else (start, start)
         if end <= begin:
             begin, end = (begin if begin > start else end), min(start + config.max_chars, size)
         spans.append((begin, end))
-        if end >= size:
+        if last or end >= size:
             break
         back = max(0, end - config.overlap_chars)
         start = back if back > begin else end
@@ -90,7 +144,7 @@ def long_spans(text: str, config: ChunkConfig) -> list[tuple[int, int]]:
 def split_long(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     """array<struct<start, end>> of a text's spans; one span where it fits."""
     spans = lambda x: None if x is None else [{"start": a, "end": b} for a, b in long_spans(x, config)]
-    return arrow("array<struct<start: int, end: int>>", spans)(text)
+    return arrow(SPAN, spans)(text)
 
 
 def json_object_complete(text: str) -> bool:

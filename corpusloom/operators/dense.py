@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.sources.scratch import cut, spread_out
 
 from .bm25 import PLACES
+from .ranking import keep_best
 
 BLOCK_FLOATS = 8_000_000
 #: Products that a task holds at a time, and vectors on one side of them.
@@ -47,17 +48,7 @@ def _merge(best: tuple[np.ndarray, np.ndarray], near: np.ndarray, own: np.ndarra
     row, col = np.nonzero(near >= (least - 10.0**-PLACES)[:, None])  # rounding moves a score by less
     score, what = np.round(near[row, col], PLACES), own[col]
     ok = score > -np.inf if asked is None else (score > -np.inf) & (asked[row] != what)
-    touched = np.unique(row[ok])
-    if not len(touched):
-        return
-    row = np.concatenate([row[ok], np.repeat(touched, k)])
-    score, what = np.concatenate([score[ok], scores[touched].ravel()]), np.concatenate([what[ok], ids[touched].ravel()])
-    order = np.lexsort((what, -score, row))
-    row = row[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    kept = order[place < k]
-    row, place = row[place < k], place[place < k]
-    ids[row, place], scores[row, place] = what[kept], score[kept]
+    keep_best(scores, [ids], row[ok], score[ok], [what[ok]])
 
 
 def _scan(block, k: int, unit: bool, other_only: bool):

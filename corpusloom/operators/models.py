@@ -5,6 +5,7 @@ No neural model is installed here; the stand-ins are deterministic and say nothi
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import time
@@ -45,12 +46,16 @@ class HashingEmbedder:
     def embed(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, text in enumerate(texts):
-            for w in (text or "").lower().split():
-                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
-                out[i, (h >> 1) % self.dim] += 1 if h & 1 else -1
+            h = np.array([word_hash(w) for w in (text or "").lower().split()], np.int64)
+            np.add.at(out[i], (h >> 1) % self.dim, np.where(h & 1, np.float32(1), np.float32(-1)))
         return out
 
 
+@functools.lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+
 class OverlapReranker:
     """The share of the query's words that a document holds."""
 
@@ -77,36 +82,38 @@ class TemplatePlanner:
         return json.dumps({"analysis": {"intent": "unknown", "query_type": "legal_concept", "entities": [], "temporal_scope": "current", "must_terms": []}}, ensure_ascii=False)
 
 
-def tokenizer_udf(make: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def tokenizer_udf(make: Callable[[], Tokenizer], batch: int = 256) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<string>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
-        for s in parts:
-            yield s.map(lambda x: model.tokenize(x or ""))
+        for a in parts:
+            yield pa.array([model.tokenize(x or "") for at in range(0, len(a), batch) for x in a.slice(at, batch).to_pylist()], pa.list_(pa.string()))
 
     return run
 
 
 def embedder_udf(make: Callable[[], Embedder], batch: int = 256) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A batch's texts become Python strings a few hundred at a time."""
+
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
-        for s in parts:
-            texts = s.fillna("").tolist()
-            rows = [v for at in range(0, len(texts), batch) for v in model.embed(texts[at : at + batch])]
-            yield pd.Series(rows, index=s.index)
+        for a in parts:
+            rows = [np.asarray(model.embed([x or "" for x in a.slice(at, batch).to_pylist()]), np.float32).reshape(len(a.slice(at, batch)), -1) for at in range(0, len(a), batch)]
+            x = np.concatenate(rows) if rows else np.zeros((0, model.dim), np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     return run
 
 
 def reranker_udf(make: Callable[[], Reranker], batch: int = 256) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = make()
         for q, d in parts:
-            a, b = q.fillna("").tolist(), d.fillna("").tolist()
-            scores = [s for at in range(0, len(a), batch) for s in model.score(a[at : at + batch], b[at : at + batch])]
-            yield pd.Series([float(np.ravel(s)[-1]) for s in scores], index=q.index)
+            some = lambda a, at: [x or "" for x in a.slice(at, batch).to_pylist()]
+            scores = [s for at in range(0, len(q), batch) for s in model.score(some(q, at), some(d, at))]
+            yield pa.array([float(np.ravel(s)[-1]) for s in scores], pa.float64())
 
     return run
 

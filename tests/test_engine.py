@@ -324,3 +324,66 @@ def test_dense_search_holds_one_tile_of_products(spark, monkeypatch):
         want = [(int(ids[i]), *r) for i in range(400) for r in sorted(((int(ids[j]), float(scores[i, j])) for j in range(400) if not other or i != j), key=lambda r: (-r[1], r[0]))[:6]]
         assert got == want
     assert max(seen) <= 700 and len(seen) > 400
+
+
+def test_sparse_search_in_blocks_and_tiles(spark, monkeypatch):
+    """No row for a pair of query and document: tasks keep k rows a query, whatever the blocks and tiles; documents that are
+    dealt to several batches, rows with one id and empty texts count as in plain sums."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i % 90, " ".join(words[(i * j * 7 + j) % 12] for j in range(i % 9))) for i in range(95)]  # five ids occur twice
+    asked = [(i, " ".join(words[(i + j * j) % 12] for j in range(1 + i % 5))) for i in range(30)]
+    index = bm25.build_index(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    counts = {}
+    for i, t in texts:
+        counts.setdefault(i, Counter()).update(t.split())
+    df, mean = Counter(w for c in counts.values() for w in c), sum(len(t.split()) for _, t in texts) / len(texts)
+    idf = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    want = []
+    for q, text in asked:
+        found = []
+        for i, c in counts.items():
+            lengths, first = [len(t.split()) for j, t in texts if j == i], [p for p, w in enumerate(text.split()) if c[w]]
+            score = sum(n * idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * dl / mean)) for w, n in Counter(text.split()).items() if c[w] for dl in lengths)
+            found += [(-round(score, 6), first[0], i)] if first else []
+        want += [(q, i, rank, -s) for rank, (s, _, i) in enumerate(sorted(found)[:4], 1)]
+    search = lambda: sorted((r["query_id"], r["doc_id"], r["rank"], r["score"]) for r in bm25.search(index, spark.createDataFrame(asked, "query_id long, text string"), 4).collect())
+    close = lambda a, b: [x[:3] for x in a] == [x[:3] for x in b] and all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(a, b, strict=True))
+    assert close(search(), sorted(want))
+    made = []
+    keep = bm25.keep_best
+    monkeypatch.setattr(bm25, "keep_best", lambda scores, ties, row, *rest: (made.append(len(row)), keep(scores, ties, row, *rest))[1])
+    block = type("B", (), {"value": (np.arange(2), np.array([0, 2, 3]), np.array([0, 1, 1]), np.ones(3), np.array([0, 0, 1]))})
+    rows = [(d, n, 1.0 + d % 7) for d in range(50) for n in range(2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[a : a + 33], strict=True)], names=["doc_id", "no", "weight"]) for a in range(0, 100, 33)]
+    monkeypatch.setattr(bm25, "TILE", 12)
+    got = [r for b in bm25._scorer(block, 3)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [(0, 6, 7.0, 0), (0, 13, 7.0, 0), (0, 20, 7.0, 0), (1, 6, 14.0, 0), (1, 13, 14.0, 0), (1, 20, 14.0, 0)] and max(made) <= 12
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 7)
+    assert close(search(), sorted(want))
+
+
+def test_texts_that_stay_the_same_are_not_sent_to_python(spark):
+    """No code point that composition changes or joins is outside the ranges, so what isn't sent is its own NFC."""
+    import re
+
+    may, risky = re.compile(udf.COMPOSED), {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for c in [*range(0xD800), *range(0xE000, 0x110000)]:
+        x = chr(c)
+        if unicodedata.normalize("NFC", x) != x or unicodedata.combining(x):
+            risky.add(x)
+        elif len(parts := unicodedata.decomposition(x).split()) == 2 and parts[0][0] != "<":
+            risky.add(chr(int(parts[1], 16)))
+    assert all(x > "˿" and may.match(x) for x in risky)
+    texts = ["plain", "Größe", "été", "doanh nghiệp", "doanh nghiệp".encode().decode("latin1"), "", None, "각", "Ärger"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    sent = [r[0] for r in rows.select(udf.may_compose(c)).collect()]
+    assert sent == [False, False, True, False, False, False, None, True, False]
+    assert [r[0] for r in rows.select(T.nfc(c)).collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert [r[0] for r in rows.select(udf.mended(c)).collect()] == [udf.composed(udf.repair(t)) for t in texts]
