@@ -42,7 +42,7 @@ def hybrid(plans: DataFrame, chunks: DataFrame, index: bm25.Bm25Index | None, em
         lists.append(found.select(F.col("query_id").alias("variant_id"), "doc_id", F.col("rank").alias("raw_rank"), F.lit(1).alias("modality")))
     hits = cut(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]), "hits")  # at most raw_k rows a list
     found = chunks.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")  # only what was found is identified
-    identity = found.select("doc_id", "chunk_id", "article_id", T.content_id(F.col("article_id"), F.col("text")).alias("content_id"))
+    identity = found.select("doc_id", "chunk_id", "article_id", T.content_id(F.col("article_id"), F.col("text"), strict=False).alias("content_id"))
     hits = cut(hits.join(identity, "doc_id").join(keys, "variant_id"), "identified")
 
     unique = fusion.first_occurrences(hits, config.per_query_top_k)
