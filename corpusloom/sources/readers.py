@@ -27,11 +27,13 @@ def article_citations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce("article_id", F.lit("")) != "")
 
 
-def chunks(spark: SparkSession, path: str, schema: str = "chunk_id string, text string, article_id string, article_title string", limit: int | None = None) -> DataFrame:
-    """Passages from JSON lines: bad JSON and missing ids are errors, blank texts are left out before the limit."""
+def chunks(spark: SparkSession, path: str, schema: str = "chunk_id string, text string, article_id string, article_title string", limit: int | None = None, empty: bool = False) -> DataFrame:
+    """Passages from JSON lines: bad JSON and missing ids are errors, blank texts are left out before the limit. Where ``empty``,
+    only texts of white space are; an empty or null text is a passage."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     rows = rows.withColumn("chunk_id", fail_unless(T.strip(F.col("chunk_id")) != "", F.col("chunk_id"), "a passage has no chunk_id"))
-    rows = rows.where(F.coalesce(T.strip(F.col("text")), F.lit("")) != "")
+    inked = F.coalesce(T.strip(F.col("text")), F.lit("")) != ""
+    rows = rows.where(inked | (F.coalesce("text", F.lit("")) == "") if empty else inked)
     return rows if limit is None else rows.limit(limit)
 
 
