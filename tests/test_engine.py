@@ -387,3 +387,22 @@ def test_texts_that_stay_the_same_are_not_sent_to_python(spark):
     assert sent == [False, False, True, False, False, False, None, True, False]
     assert [r[0] for r in rows.select(T.nfc(c)).collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
     assert [r[0] for r in rows.select(udf.mended(c)).collect()] == [udf.composed(udf.repair(t)) for t in texts]
+
+
+def test_plain_texts_are_not_worked_on(spark):
+    """Texts that are clean, or fit one span with plain ends, take the short way; the others' results are as before."""
+    import itertools
+    import re
+
+    texts = ["".join(p) for p in itertools.product(["a", " ", "\n", "\t", "\u00a0", "\r", "\u3000"], repeat=4)] + ["", None, "a b\nc\n\nd", "x\x1f", "\u0085x"]
+
+    def plain(t):
+        t = unicodedata.normalize("NFC", t or "").translate({0xFEFF: " ", 0xA0: " "}).replace("\r\n", "\n").replace("\r", "\n")
+        for pattern, new in (("[ \t]+", " "), ("\n[ \t]+|[ \t]+(?=\n)", "\n"), ("\n[ \t]+", "\n"), ("[ \t]+\n", "\n"), ("\n{3,}", "\n\n")):
+            t = re.sub(pattern, new, t)
+        return t.strip(" \n\t\u3000\u0085")
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", T.clean_text(F.col("t")).alias("c"), udf.split_long(F.col("t"), ChunkConfig(3, 1, 1)).alias("s"), F.col("t").alias("t")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [plain(t) for t in texts]
+    assert [r["s"] and [tuple(x) for x in r["s"]] for r in got] == [[] if t == "" else t and udf.long_spans(t, ChunkConfig(3, 1, 1)) for t in texts]
