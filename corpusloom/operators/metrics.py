@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 
 def relevance_ids(field: Column, chunk_id: Column, article_id: Column) -> Column:
     """What a case compares: chunks, or articles (a missing one is the empty string)."""
@@ -50,18 +52,21 @@ def f2(p: Column, r: Column) -> Column:
 
 
 def set_scores(predicted: Column, gold: Column) -> Column:
-    """struct<precision, recall, f2> of two sets; two empty ones agree fully."""
-    hits = F.size(F.array_intersect(predicted, gold)).cast("double")
-    n, m = F.size(F.array_distinct(predicted)), F.size(F.array_distinct(gold))
-    both = (n == 0) & (m == 0)
-    p = F.when(both, 1.0).when(n == 0, 0.0).otherwise(F.try_divide(hits, n))
-    r = F.when(both, 1.0).when(m == 0, 0.0).otherwise(F.try_divide(hits, m))
-    return F.struct(p.alias("precision"), r.alias("recall"), f2(p, r).alias("f2"))
+    """struct<precision, recall, f2> of two sets; two empty ones agree fully. Sets are compared once, however often a size is used."""
+    sizes = F.struct(F.size(F.array_intersect(predicted, gold)).cast("double").alias("h"), F.size(F.array_distinct(predicted)).alias("n"), F.size(F.array_distinct(gold)).alias("m"))
+
+    def shares(s: Column) -> Column:
+        both = (s["n"] == 0) & (s["m"] == 0)
+        p = F.when(both, 1.0).when(s["n"] == 0, 0.0).otherwise(F.try_divide(s["h"], s["n"]))
+        r = F.when(both, 1.0).when(s["m"] == 0, 0.0).otherwise(F.try_divide(s["h"], s["m"]))
+        return F.struct(p.alias("precision"), r.alias("recall"))
+
+    return let(let(sizes, shares), lambda x: F.struct(x["precision"].alias("precision"), x["recall"].alias("recall"), f2(x["precision"], x["recall"]).alias("f2")))
 
 
 def answer_sets(predicted: DataFrame, gold: DataFrame, fields: Sequence[str] = ("relevant_docs", "relevant_articles")) -> DataFrame:
     """field, precision, recall, f2: means over the gold cases; a missing prediction is an empty set, further ones don't count."""
-    joined = gold.select("id", *[F.col(f).alias(f"gold_{f}") for f in fields]).join(predicted.select("id", *fields), "id", "left")
+    joined = gold.select("id", *[F.array_distinct(f).alias(f"gold_{f}") for f in fields]).join(predicted.select("id", *[F.array_distinct(f).alias(f) for f in fields]), "id", "left")
     empty = F.array().cast("array<string>")
     rows = F.array(*[F.struct(F.lit(f).alias("field"), set_scores(F.coalesce(F.col(f), empty), F.coalesce(F.col(f"gold_{f}"), empty)).alias("s")) for f in fields])
     return joined.select(F.explode(rows).alias("x")).groupBy("x.field").agg(*[F.avg(f"x.s.{m}").alias(m) for m in ("precision", "recall", "f2")])

@@ -406,3 +406,23 @@ def test_plain_texts_are_not_worked_on(spark):
     got = rows.select("i", T.clean_text(F.col("t")).alias("c"), udf.split_long(F.col("t"), ChunkConfig(3, 1, 1)).alias("s"), F.col("t").alias("t")).orderBy("i").collect()
     assert [r["c"] for r in got] == [plain(t) for t in texts]
     assert [r["s"] and [tuple(x) for x in r["s"]] for r in got] == [[] if t == "" else t and udf.long_spans(t, ChunkConfig(3, 1, 1)) for t in texts]
+
+
+def test_sets_are_compared_once(spark):
+    sets = spark.createDataFrame([(["a", "b", "b"], ["b", "c"]), ([], []), (["a"], [])], "p array<string>, g array<string>")
+    scored = sets.select(metrics.set_scores(F.col("p"), F.col("g")).alias("s"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and plan.count("array_distinct") == 2
+    assert [tuple(r["s"]) for r in scored.collect()] == [(0.5, 0.5, 0.5), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0)]
+
+
+def test_contexts_shuffle_no_texts(spark):
+    """The texts of what was found are joined with a small table, so they stay where they are."""
+    from corpusloom.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # less than the texts have
+    try:
+        plan = catalog.queries()["rendered_contexts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
